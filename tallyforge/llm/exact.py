@@ -32,8 +32,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are null) and group_size. Counts are pre-aggregated before each shuffle, so a hot group is one row per task.
     """
     keys = stored(_keyed(docs.select(text_col), text_col).select("_length", "_prefix"), "exact-keys")
-    lengths = keys.groupBy("_length").agg(F.count("*").alias("n")).filter("n > 1").select("_length")
-    prefixes = keys.join(lengths, "_length", "left_semi").groupBy("_length", "_prefix").agg(F.count("*").alias("n")).filter("n > 1").select("_length", "_prefix")
+    pairs = keys.groupBy("_length", "_prefix").agg(F.count("*").alias("n"))
+    lengths = pairs.groupBy("_length").agg(F.sum("n").alias("all")).filter("all > 1").select("_length")
+    prefixes = pairs.filter("n > 1").join(lengths, "_length", "left_semi").select("_length", "_prefix")
     prefixes = stored(prefixes, "exact-prefixes")
     left = F.broadcast(prefixes) if prefixes.count() <= BROADCAST_GROUPS else prefixes
     candidates = _keyed(docs, text_col).join(left, ["_length", "_prefix"], "left_semi").withColumn("_full", F.sha2(normal(F.col(text_col)), 256))
