@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, jaccard, packing, pieces, token_files
+from tallyforge.llm import chat, exact, jaccard, packing, pieces, repeats, token_files
 
 QUERIES = {
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_token_files": token_files.op3_token_files,
+    "op4_suffix_dedup": repeats.op4_suffix_dedup,
     "op6_pieces": pieces.op6_pieces,
     "op8_chat": chat.op8_chat,
     "op9_exact_dedup": exact.op9_exact_dedup,
