@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import BLOB, BYTE_CODE, Rolling, blob_rows, bucket_groups, buckets, by_bucket, flat, ints, joined, mapped, mix, scatter, slices, stored
 
-LENGTH, GRAM, DIGIT = 100, 32, 20
-CHUNK = 20_000  # anchors whose windows are sorted at a time
+LENGTH, GRAM, DIGIT = 100, 32, 50
+CHUNK = 8_000  # anchors whose windows are sorted at a time
+SLICE = 1 << 20  # bytes of text looked at at a time
+HELD = 200_000  # anchors in a batch of blobs
 _U = np.uint64
 DOCS, COVERED, ASKED, SHOWN = 0, 1, 2, 3
 
@@ -83,11 +85,18 @@ def _find(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
     n_buckets = buckets(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in slices(batches, text_col, SLICE):
             buf, off, ids, tie = _key(b, id_col, text_col)
             at, doc, gram, left, right, around = anchors(buf, off, length)
-            if len(at):
-                yield scatter((gram % _U(n_buckets)).astype(np.int32), gram, around, ids[doc], tie[doc], (at - off[doc]).astype(np.uint32), left.astype(np.uint16), right.astype(np.uint16))
+            held.append((gram, around, ids[doc], tie[doc], (at - off[doc]).astype(np.uint32), left.astype(np.uint16), right.astype(np.uint16)))
+            if sum(len(x[0]) for x in held) >= HELD:
+                cols = [np.concatenate(x) for x in zip(*held)]
+                yield scatter((cols[0] % _U(n_buckets)).astype(np.int32), *cols)
+                held = []
+        if held and sum(len(x[0]) for x in held):
+            cols = [np.concatenate(x) for x in zip(*held)]
+            yield scatter((cols[0] % _U(n_buckets)).astype(np.int32), *cols)
 
     return mapped(docs.select(id_col, text_col), run, BLOB)
 
@@ -171,7 +180,7 @@ def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length
             if not wanted:
                 continue
             want_ids, want_tie, at, gram = joined(wanted)
-            for b in _rows(rows):
+            for b in slices(_rows(rows), text_col, SLICE):
                 buf, off, ids, tie = _key(b, id_col, text_col)
                 which, row = _lookup(ids, tie, want_ids, want_tie)
                 if not len(which):
@@ -179,8 +188,8 @@ def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length
                 place = off[row] + at[which]
                 left = np.minimum(side, place - off[row])
                 right = np.minimum(side, off[row + 1] - place - GRAM)
-                for i in range(0, len(which), 50_000):
-                    s = slice(i, i + 50_000)
+                for i in range(0, len(which), 20_000):
+                    s = slice(i, i + 20_000)
                     cells = place[s, None] - side + np.arange(width)
                     seen = buf[np.clip(cells, 0, len(buf) - 1)]
                     seen[(cells < (place - left)[s, None]) | (cells >= (place + GRAM + right)[s, None])] = 0
@@ -251,7 +260,7 @@ def _removed(dealt: DataFrame, covered: DataFrame, docs: DataFrame, id_col: str,
             known = [p for k, p in rows if k == COVERED]
             cover = joined(known) if known else [np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
             for whole in _rows(rows):
-                for b in slices(iter([whole]), text_col):
+                for b in slices(iter([whole]), text_col, SLICE):
                     buf, off, ids, tie = _key(b, id_col, text_col)
                     which, row = _lookup(ids, tie, cover[0], cover[1])
                     edge = np.zeros(len(buf) + 1, np.int32)
