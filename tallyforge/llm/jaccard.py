@@ -2,9 +2,10 @@
 
 Index lists hold, per prefix shingle, the sets that have it, ordered by size and position. Sets of other sizes are skipped
 block-wise, and so are positions from which the wanted overlap can't be reached. Where a list is long, its sets are mostly
-much alike: there the answers follow from those of a similar set. The first pass links each set to its nearest one in
-the list (a spanning forest by a bound on their difference); sets that are then in one component need no answer of
-their own, and the second pass computes only the pairs between components that the bound leaves.
+much alike: there the answers follow from those of a similar set. The first pass links each set of a list
+to one leader; the second links components by their nearest sets (a spanning forest by a bound on their difference); the
+third takes whatever pairs are left. Sets that are in one component by then need no answer of
+their own, and later passes compute only pairs between components that the bound leaves.
 
 Identical sets are one set throughout. Links between different sets are all found or implied: the result is the
 components, and the links that were computed.
@@ -24,8 +25,8 @@ from tallyforge.llm.shared import BLOB, NULL_ID, buckets, bucket_groups, by_buck
 from tallyforge.llm.shingles import shingle_sets
 
 BITS = 1024
-LONG_LIST = 64
-FREQUENT = 0.0005  # share of documents from which a shingle comes late in the order; so at most 2000 times a document's shingles
+FREQUENT, ORDERED = 16, 1_000_000  # documents from which a shingle comes late in the order; at most so many do, the most frequent ones
+SLICE = 2 << 20  # bytes of text looked at at a time
 BROADCAST_IDS = 4_000_000
 _U = np.uint64
 
@@ -38,17 +39,36 @@ def set_ids(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(sets: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """Parities of BITS classes of shingles: sets differ in at least as many shingles as these in bits."""
-    own = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    out = []
-    for i in range(0, len(off) - 1, 2048):  # 2048 documents at a time
-        j = min(i + 2048, len(off) - 1)
+    """Parities of classes of shingles (their low bits): sets differ in at least as many shingles as these in bits.
+
+    As many classes as a set has shingles, to the next power of two, and BITS at least.
+    """
+    n = np.diff(off)
+    own = np.repeat(np.arange(len(n)), n)
+    out: list[bytes] = [b""] * len(n)
+    for i in range(0, len(n), 512):  # 512 documents at a time
+        j = min(i + 512, len(n))
         part = slice(off[i], off[j])
         counts = np.bincount((own[part] - i) * BITS + (sets[part] & _U(BITS - 1)).astype(np.int64), minlength=(j - i) * BITS)
-        out += [r.tobytes() for r in np.packbits((counts & 1).astype(np.uint8).reshape(-1, BITS), axis=1)]
+        out[i:j] = [r.tobytes() for r in np.packbits((counts & 1).astype(np.uint8).reshape(-1, BITS), axis=1)]
+    for d in np.flatnonzero(n > BITS):
+        bits = 1 << int(n[d] - 1).bit_length()
+        counts = np.bincount((sets[off[d] : off[d + 1]] & _U(bits - 1)).astype(np.int64), minlength=bits)
+        out[d] = np.packbits((counts & 1).astype(np.uint8)).tobytes()
     return out
 
 
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    """The bitmap of fewer classes, ``size`` bytes."""
+    x = np.frombuffer(bitmap, _U)
+    return np.bitwise_xor.reduce(x.reshape(-1, size // 8), axis=0)
+
+
+def differing(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
 def needed(a, b, percent: int):
     """Least overlap of sets of these sizes that makes a link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -69,7 +89,7 @@ def _measure(rows: DataFrame, words: int) -> DataFrame:
     names = ["kind", "doc_id", "sid", "n", "bitmap", "bucket", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             sets, off = shingle_sets(*flat(b.column(1)), words)
             k = b.num_rows
             null = pa.nulls(k, pa.binary())
@@ -99,7 +119,9 @@ def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
             keep = total >= least
             yield pa.RecordBatch.from_arrays([pa.array(tokens[at[keep]].view(np.int64)), pa.array(total[keep])], ["token", "df"])
 
-    got = mapped(by_bucket(counts.select("bucket", "kind", "payload")), run, "token long, df long").toArrow()
+    # The order may be any, as long as all documents have the same; its size is bounded, and what it leaves out is rarer.
+    frequent = mapped(by_bucket(counts.select("bucket", "kind", "payload")), run, "token long, df long")
+    got = frequent.orderBy(F.desc("df"), "token").limit(ORDERED).toArrow()
     tokens = np.asarray(got.column(0).to_numpy()).view(_U)
     order = np.argsort(tokens)
     return tokens[order], np.asarray(got.column(1).to_numpy())[order]
@@ -110,7 +132,7 @@ def _postings(rows: DataFrame, words: int, percent: int, tokens: np.ndarray, df:
     n_buckets = buckets(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             sets, off = shingle_sets(*flat(b.column(1)), words)
             sid, n = set_ids(sets, off), np.diff(off)
             _, first = np.unique(sid, return_index=True)
@@ -137,7 +159,10 @@ def _reaches(na, pa_, nb, pb, percent: int):
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (token null) from short lists, and the rows of long lists."""
+    """Pairs (token null): those of lists of two, and of longer lists each set with the leader; and the rows of longer lists.
+
+    The leader is the set with the least hash, so that alike lists have the same one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in bucket_groups(batches):
@@ -145,41 +170,31 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             order = np.argsort(token, kind="stable")
             same = token[order][1:] == token[order][:-1]
             order = order[np.r_[False, same] | np.r_[same, False]]
-            order = order[np.lexsort((pos[order], sid[order], n[order], token[order]))]
+            order = order[np.lexsort((mix(sid[order].view(_U)), token[order]))]
             token, sid, n, pos = token[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
             if not len(token):
                 continue
             new = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])]
             token, sid, n, pos = token[new], sid[new], n[new], pos[new]
             at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            size = np.repeat(np.diff(np.r_[at, len(token)]), np.diff(np.r_[at, len(token)]))
-            long = size > LONG_LIST
+            size = np.diff(np.r_[at, len(token)])
+            lead, size = np.repeat(at, size), np.repeat(size, size)
+            long = size > 2
             if long.any():
                 yield pa.RecordBatch.from_arrays([pa.array(token[long].view(np.int64)), pa.array(sid[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(n[long]), pa.array(pos[long])], ["token", "a", "b", "n", "pos"])
-            short = np.flatnonzero(~long & (size > 1))
-            token, sid, n, pos = token[short], sid[short], n[short], pos[short]
-            left, right = [], []
-            live = np.arange(len(token))
-            for d in range(1, LONG_LIST):
-                live = live[live + d < len(token)]
-                # Sizes grow along a list: past the first that is too large, the rest of the list is skipped.
-                live = live[(token[live] == token[live + d]) & (100 * n[live] >= percent * n[live + d])]
-                if not len(live):
-                    break
-                ok = live[_reaches(n[live], pos[live], n[live + d], pos[live + d], percent)]
-                left.append(np.minimum(sid[ok], sid[ok + d]))
-                right.append(np.maximum(sid[ok], sid[ok + d]))
-            if left:
-                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-                k = len(pairs)
-                none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], ["token", "a", "b", "n", "pos"])
+            one = np.flatnonzero(lead != np.arange(len(token)))
+            two = lead[one]
+            ok = (100 * np.minimum(n[one], n[two]) >= percent * np.maximum(n[one], n[two])) & _reaches(n[one], pos[one], n[two], pos[two], percent)
+            x, y = sid[one[ok]], sid[two[ok]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], ["token", "a", "b", "n", "pos"])
 
     return mapped(by_bucket(postings), run, "token long, a long, b long, n long, pos long")
 
 
 def _list_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs of long lists between components that the bitmaps leave: a spanning forest by difference, or all."""
+    """Pairs of lists between components that the bitmaps leave: a spanning forest by difference, or all."""
 
     def one(sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(sid)
@@ -216,7 +231,7 @@ def _list_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             token, sid, n, pos, group = (ints(t.column(c))[0] for c in ("token", "sid", "n", "pos", "grp"))
-            maps = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), _U).reshape(len(sid), -1)
+            maps = np.stack([folded(m, BITS // 8) for m in t.column("bitmap").to_pylist()])
             at = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
             for i, j in zip(at[:-1], at[1:]):
                 if (group[i:j] != group[i]).any():
@@ -267,7 +282,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             sets, off = shingle_sets(*flat(b.column(1)), words)
             made = set_ids(sets, off)
             own = np.flatnonzero(made == b.column(2).to_numpy())
@@ -288,39 +303,43 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = _rows(docs, id_col, text_col)
     measured = stored(_measure(rows, words), "sets")
     own = measured.filter("kind = 0")
-    total = own.count()
-    tokens, df = _frequent(measured.filter("kind = 1"), max(16, int(total * FREQUENT)))
+    tokens, df = _frequent(measured.filter("kind = 1"), FREQUENT)
     found = stored(_candidates(_postings(rows, words, percent, tokens, df), percent), "candidates")
     # One document stands for each set.
     reps = stored(own.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bitmap").alias("bitmap"), F.count("*").alias("copies")), "representatives")
     maps = reps.select("sid", "n", "bitmap")
-    lists = found.filter("token IS NOT NULL").select("token", F.col("a").alias("sid"), "n", "pos").join(maps.drop("n"), "sid")
-    forest = _list_pairs(lists.withColumn("grp", F.col("sid")), percent, False)
-    pairs = found.filter("token IS NULL").select("a", "b").unionAll(forest).distinct()
-    sides = [maps.select(*(F.col(c).alias(c + s) for c in maps.columns)) for s in "ab"]
-    pairs = pairs.join(sides[0].withColumnRenamed("sida", "a"), "a").join(sides[1].withColumnRenamed("sidb", "b"), "b")
+    lists = found.filter("token IS NOT NULL").select("token", F.col("a").alias("sid"), "n", "pos")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), _U).reshape(b.num_rows, -1) for c in ("bitmapa", "bitmapb"))
+                differ = np.array([differing(x, y) for x, y in zip(b.column("bitmapa").to_pylist(), b.column("bitmapb").to_pylist())])
                 na, nb = ints(b.column("na"))[0], ints(b.column("nb"))[0]
-                ok = pa.array((np.bitwise_count(x ^ y).sum(1) <= na + nb - 2 * needed(na, nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
+                ok = pa.array((differ <= na + nb - 2 * needed(na, nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
-    pairs = stored(mapped(pairs, near, "a long, b long"), "pairs")
-    involved = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid")))
-    if not found.filter("token IS NOT NULL").isEmpty():
-        involved = involved.unionAll(found.filter("token IS NOT NULL").select(F.col("a").alias("sid")))
-    sets = stored(_sets(rows, reps.join(involved.distinct(), "sid", "left_semi"), words), "shingle-sets")
-    links = stored(_verified(pairs, sets, percent), "first-links")
-    if not found.filter("token IS NOT NULL").isEmpty():
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = [maps.select(*(F.col(c).alias(c + s) for c in maps.columns)) for s in "ab"]
+        both = pairs.distinct().join(sides[0].withColumnRenamed("sida", "a"), "a").join(sides[1].withColumnRenamed("sidb", "b"), "b")
+        left = stored(mapped(both, near, "a long, b long"), "pairs")
+        involved = left.select(F.col("a").alias("sid")).unionAll(left.select(F.col("b").alias("sid"))).distinct()
+        sets = stored(_sets(rows, reps.join(involved, "sid", "left_semi"), words), "shingle-sets")
+        return stored(_verified(left, sets, percent), "links")
+
+    links = verified(found.filter("token IS NULL").select("a", "b"))
+    for all_pairs in (False, True):
         groups = components(links).withColumnRenamed("node", "sid").withColumnRenamed("component", "grp")
-        lists = lists.join(groups, "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
+        grouped = stored(lists.join(groups, "sid", "left").withColumn("grp", F.coalesce("grp", "sid")), "lists")
         # Lists with one component have nothing left to answer.
-        open_ = lists.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
-        more = _list_pairs(lists.join(open_, "token", "left_semi"), percent, True).distinct()
-        links = stored(links.unionAll(_verified(more, sets, percent)).distinct(), "links")
+        open_ = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
+        lists = stored(grouped.join(open_, "token", "left_semi"), "open-lists")
+        if lists.isEmpty():
+            break
+        more = stored(_list_pairs(lists.join(maps.select("sid", "bitmap"), "sid"), percent, all_pairs).distinct().join(links, ["a", "b"], "left_anti"), "more-pairs")
+        lists = lists.drop("grp")
+        if more.isEmpty():
+            break
+        links = stored(links.unionAll(verified(more)).distinct(), "links")
     ids = reps.select("sid", "doc_id")
     ends = links.join(ids.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), "a").join(ids.select(F.col("sid").alias("b"), F.col("doc_id").alias("y")), "b")
     groups = components(ends, "x", "y").withColumnRenamed("node", "doc_id")
