@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.components import components
+from tallyforge.llm.components import components, merged
 from tallyforge.llm.shared import BLOB, NULL_ID, buckets, bucket_groups, by_bucket, flat, id_array, ints, joined, mapped, mix, scatter, slices, stored
 from tallyforge.llm.shingles import shingle_sets
 
@@ -327,9 +327,10 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         return stored(_verified(left, sets, percent), "links")
 
     links = verified(found.filter("token IS NULL").select("a", "b"))
+    groups = components(links)
     for all_pairs in (False, True):
-        groups = components(links).withColumnRenamed("node", "sid").withColumnRenamed("component", "grp")
-        grouped = stored(lists.join(groups, "sid", "left").withColumn("grp", F.coalesce("grp", "sid")), "lists")
+        own_group = groups.select(F.col("node").alias("sid"), F.col("component").alias("grp"))
+        grouped = stored(lists.join(own_group, "sid", "left").withColumn("grp", F.coalesce("grp", "sid")), "lists")
         # Lists with one component have nothing left to answer.
         open_ = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
         lists = stored(grouped.join(open_, "token", "left_semi"), "open-lists")
@@ -339,10 +340,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         lists = lists.drop("grp")
         if more.isEmpty():
             break
-        links = stored(links.unionAll(verified(more)).distinct(), "links")
-    ids = reps.select("sid", "doc_id")
-    ends = links.join(ids.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), "a").join(ids.select(F.col("sid").alias("b"), F.col("doc_id").alias("y")), "b")
-    groups = components(ends, "x", "y").withColumnRenamed("node", "doc_id")
+        new = verified(more)
+        groups = merged(groups, new)
+        links = links.unionAll(new)
+    # Components are numbered by their sets so far; each takes the least doc_id of its sets.
+    members = reps.select(F.col("sid").alias("node"), "doc_id").join(groups, "node")
+    least = members.groupBy("component").agg(F.min("doc_id").alias("least"))
+    groups = members.join(least, "component").select("doc_id", F.col("least").alias("component"))
     degree = links.select(F.col("a").alias("sid")).unionAll(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
     per_set = reps.select("sid", "doc_id").join(groups, "doc_id", "left").join(degree, "sid", "left").select("sid", F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = own.select("doc_id", "sid", "n").join(per_set, "sid", "left")
