@@ -1,11 +1,11 @@
 """Removal of repeated passages: a depth-limited suffix sort over bytes.
 
 Ordering all suffixes down to ``length`` bytes would move each byte's suffix. Instead suffixes are placed through anchors:
-the places whose 32-byte string has the least hash of some window of ``length`` bytes. Equal windows have an anchor at
-the same place, so windows are only compared among those that share one.
+each window of ``length`` bytes has one, the first of its 32-byte strings with the least hash. Equal windows have it at the
+same place, so windows are only compared among those whose anchors have the same string.
 
-1. Anchors with a hash of all that windows around them can cover are grouped by their string. Whoever has the same
-   surroundings as an earlier anchor is covered whole; one of each kind of surroundings is left where there are several.
+1. Anchors with a hash of all that their windows cover are grouped by their string. Whoever has the same surroundings as
+   an earlier anchor is covered whole; one of each kind of surroundings is left where there are several.
 2. The windows of those are sorted by most-significant-digit passes of ``DIGIT`` bytes down to ``length`` bytes; windows
    alone in their group leave after each pass. The equal groups left at the end are exactly the repeated windows, and all
    but the first of each are covered.
@@ -23,51 +23,59 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import BLOB, BYTE_CODE, Rolling, blob_rows, bucket_groups, buckets, by_bucket, flat, ints, joined, mapped, mix, scatter, slices, stored
+from tallyforge.llm.shared import BLOB, Rolling, blob_rows, bucket_groups, buckets, by_bucket, flat, ints, joined, mapped, mix, scatter, slices, stored
 
 LENGTH, GRAM, DIGIT = 100, 32, 50
 CHUNK = 8_000  # anchors whose windows are sorted at a time
 SLICE = 1 << 20  # bytes of text looked at at a time
 HELD = 200_000  # anchors in a batch of blobs
+PLACE = (1 << 24) - 1  # bits that tell the place in a part beside the hash
+PART = 1 << 23  # windows of a part
 _U = np.uint64
 DOCS, COVERED, ASKED, SHOWN = 0, 1, 2, 3
 
 
-def _least(h: np.ndarray, w: int, largest: bool = False) -> np.ndarray:
-    """Least (or largest) of each run of w values: prefixes and suffixes of blocks of w."""
-    op, fill = (np.maximum, _U(0)) if largest else (np.minimum, ~_U(0))
+def _least(h: np.ndarray, w: int) -> np.ndarray:
+    """Least of each run of w values: prefixes and suffixes of blocks of w."""
     n = len(h) - w + 1
     rows = -(-len(h) // w) + 1
-    x = np.full(rows * w, fill, _U)
+    x = np.full(rows * w, ~_U(0), _U)
     x[: len(h)] = h
     x = x.reshape(rows, w)
-    ahead = op.accumulate(x, axis=1).reshape(-1)
-    back = op.accumulate(x[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return op(back[:n], ahead[w - 1 : w - 1 + n])
+    ahead = np.minimum.accumulate(x, axis=1).reshape(-1)
+    back = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(place, document, string hash, bytes known to the left, to the right, hash of all of them)."""
-    none = np.zeros(0, np.int64)
-    if len(buf) < length:
-        return none, none, none.astype(_U), none, none, none.astype(_U)
-    roll = Rolling(buf)
-    h = roll.all(GRAM) | _U(1)
-    span = length - GRAM + 1
-    low = _least(h, span)
+    """(place, document, string hash, bytes of its windows to the left, to the right, hash of all of them).
+
+    A window's anchor is the first of its strings with the least hash; an anchor's windows follow each other.
+    """
     inside = np.zeros(len(buf) + 1, np.int32)  # windows that stay in their document
     whole = np.flatnonzero(np.diff(off) >= length)
-    inside[off[whole]] += 1
+    np.add.at(inside, off[whole], 1)
     np.subtract.at(inside, off[whole + 1] - length + 1, 1)
-    low[np.cumsum(inside)[: len(low)] == 0] = 0
-    top = _least(np.r_[np.zeros(span - 1, _U), low, np.zeros(span - 1, _U)], span, True)
-    at = np.flatnonzero(h == top[: len(h)])
-    doc = np.searchsorted(off, at, "right") - 1
-    side = length - GRAM
-    left = np.minimum(side, at - off[doc])
-    right = np.minimum(side, off[doc + 1] - at - GRAM)
-    around = mix(roll.at(at - left, left + GRAM + right) + left.astype(_U))
-    return at, doc, h[at], left, right, around
+    inside = np.cumsum(inside) > 0
+    parts = [_part(buf[i : i + PART + length - 1], inside[i : i + PART], length, i) for i in range(0, max(len(buf) - length + 1, 1), PART)]
+    at, gram, left, right, around = (np.concatenate(x) for x in zip(*parts))
+    return at, np.searchsorted(off, at, "right") - 1, gram, left, right, around
+
+
+def _part(buf: np.ndarray, inside: np.ndarray, length: int, begin: int) -> tuple[np.ndarray, ...]:
+    none = np.zeros(0, np.int64)
+    if len(buf) < length:
+        return none, none.astype(_U), none, none, none.astype(_U)
+    roll = Rolling(buf)
+    h = roll.all(GRAM)
+    low = _least((h & ~_U(PLACE)) | np.arange(len(h), dtype=_U), length - GRAM + 1)
+    start = np.flatnonzero(inside[: len(low)])
+    place = (low[start] & _U(PLACE)).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else none
+    at, first, last = place[new], start[new], start[np.r_[new[1:], len(place)] - 1] if len(new) else none
+    left, right = at - first, last + length - at - GRAM
+    around = mix(roll.at(first, left + GRAM + right) + left.astype(_U))
+    return at + begin, h[at], left, right, around
 
 
 def _key(batch: pa.RecordBatch, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +135,7 @@ def _group(found: DataFrame) -> DataFrame:
             ask = np.flatnonzero(kind & (kinds[number] > 1))
             if len(ask):
                 order = ask[np.lexsort((at[ask], ids[ask]))]
-                yield scatter(_bucket(ids[order], n_buckets), ids[order], tie[order], at[order], gram[order], kind=ASKED)
+                yield scatter(_bucket(ids[order], n_buckets), ids[order], tie[order], at[order], gram[order], left[order], right[order], kind=ASKED)
 
     return mapped(by_bucket(found), run, BLOB)
 
@@ -179,15 +187,14 @@ def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length
             wanted = [p for k, p in rows if k == ASKED]
             if not wanted:
                 continue
-            want_ids, want_tie, at, gram = joined(wanted)
+            want_ids, want_tie, at, gram, left_of, right_of = joined(wanted)
             for b in slices(_rows(rows), text_col, SLICE):
                 buf, off, ids, tie = _key(b, id_col, text_col)
                 which, row = _lookup(ids, tie, want_ids, want_tie)
                 if not len(which):
                     continue
                 place = off[row] + at[which]
-                left = np.minimum(side, place - off[row])
-                right = np.minimum(side, off[row + 1] - place - GRAM)
+                left, right = left_of[which].astype(np.int64), right_of[which].astype(np.int64)
                 for i in range(0, len(which), 20_000):
                     s = slice(i, i + 20_000)
                     cells = place[s, None] - side + np.arange(width)
