@@ -28,7 +28,9 @@ from tallyforge.llm.shared import BLOB, Rolling, blob_rows, bucket_groups, bucke
 LENGTH, GRAM, DIGIT = 100, 32, 50
 CHUNK = 8_000  # anchors whose windows are sorted at a time
 SLICE = 1 << 20  # bytes of text looked at at a time
+DEALT = 32 << 20  # bytes of text that are dealt out at a time
 HELD = 200_000  # anchors in a batch of blobs
+SHOWN_HELD = 200_000  # anchors with their surroundings in a batch of blobs
 PLACE = (1 << 24) - 1  # bits that tell the place in a part beside the hash
 PART = 1 << 23  # windows of a part
 _U = np.uint64
@@ -89,6 +91,12 @@ def _bucket(ids: np.ndarray, n: int) -> np.ndarray:
     return (mix(ids.view(_U)) % _U(n)).astype(np.int32)
 
 
+def _spread(held: list[tuple[np.ndarray, ...]], n: int, kind: int = 0) -> pa.RecordBatch:
+    """Blobs of records whose first column, a hash, tells the bucket."""
+    cols = [np.concatenate(x) for x in zip(*held)]
+    return scatter((cols[0] % _U(n)).astype(np.int32), *cols, kind=kind)
+
+
 def _find(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     n_buckets = buckets(docs.sparkSession)
 
@@ -99,12 +107,10 @@ def _find(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
             at, doc, gram, left, right, around = anchors(buf, off, length)
             held.append((gram, around, ids[doc], tie[doc], (at - off[doc]).astype(np.uint32), left.astype(np.uint16), right.astype(np.uint16)))
             if sum(len(x[0]) for x in held) >= HELD:
-                cols = [np.concatenate(x) for x in zip(*held)]
-                yield scatter((cols[0] % _U(n_buckets)).astype(np.int32), *cols)
+                yield _spread(held, n_buckets)
                 held = []
         if held and sum(len(x[0]) for x in held):
-            cols = [np.concatenate(x) for x in zip(*held)]
-            yield scatter((cols[0] % _U(n_buckets)).astype(np.int32), *cols)
+            yield _spread(held, n_buckets)
 
     return mapped(docs.select(id_col, text_col), run, BLOB)
 
@@ -146,7 +152,7 @@ def _deal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
-        for b in slices(batches, text_col):
+        for b in _together(batches, text_col, DEALT):
             to = _bucket(ints(b.column(id_col))[0], n_buckets)
             out = []
             for k in np.unique(to):
@@ -159,18 +165,31 @@ def _deal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return mapped(docs, run, BLOB)
 
 
-def _rows(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for k, p in rows:
-        if k == DOCS:
-            yield from pa.ipc.open_stream(p)
+def _together(batches: Iterator[pa.RecordBatch], text_col: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``limit`` bytes of text, or one row if that is longer: small ones are put together."""
+    held, n = [], 0
+    for b in slices(batches, text_col, limit):
+        size = pc.sum(pc.binary_length(b.column(text_col))).as_py() or 0
+        if held and n + size > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+        held.append(b)
+        n += size
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _rows(rows: list[tuple[int, bytes]], text_col: str) -> Iterator[pa.RecordBatch]:
+    return _together((b for k, p in rows if k == DOCS for b in pa.ipc.open_stream(p)), text_col, SLICE)
 
 
-def _lookup(ids: np.ndarray, tie: np.ndarray, want_ids: np.ndarray, want_tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(wanted, row) numbers of all matches."""
-    own = mix(ids.view(_U) + (tie.astype(_U) << _U(32)))
-    want = mix(want_ids.view(_U) + (want_tie.astype(_U) << _U(32)))
-    order = np.argsort(want, kind="stable")
-    lo, hi = np.searchsorted(want[order], own, "left"), np.searchsorted(want[order], own, "right")
+def _names(ids: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    return mix(ids.view(_U) + (tie.astype(_U) << _U(32)))
+
+
+def _lookup(own: np.ndarray, want: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(wanted, row) numbers of all matches of names; ``want`` is sorted, ``order`` has the numbers it had before."""
+    lo, hi = np.searchsorted(want, own, "left"), np.searchsorted(want, own, "right")
     row = np.repeat(np.arange(len(own)), hi - lo)
     at = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
     return order[at], row
@@ -188,9 +207,13 @@ def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length
             if not wanted:
                 continue
             want_ids, want_tie, at, gram, left_of, right_of = joined(wanted)
-            for b in slices(_rows(rows), text_col, SLICE):
+            want = _names(want_ids, want_tie)
+            order = np.argsort(want, kind="stable")
+            want = want[order]
+            held, n = [], 0
+            for b in _rows(rows, text_col):
                 buf, off, ids, tie = _key(b, id_col, text_col)
-                which, row = _lookup(ids, tie, want_ids, want_tie)
+                which, row = _lookup(_names(ids, tie), want, order)
                 if not len(which):
                     continue
                 place = off[row] + at[which]
@@ -200,8 +223,13 @@ def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length
                     cells = place[s, None] - side + np.arange(width)
                     seen = buf[np.clip(cells, 0, len(buf) - 1)]
                     seen[(cells < (place - left)[s, None]) | (cells >= (place + GRAM + right)[s, None])] = 0
-                    g = gram[which[s]]
-                    yield scatter((g % _U(n_buckets)).astype(np.int32), g, ids[row[s]], tie[row[s]], at[which[s]], left[s].astype(np.uint16), right[s].astype(np.uint16), seen, kind=SHOWN)
+                    held.append((gram[which[s]], ids[row[s]], tie[row[s]], at[which[s]], left[s].astype(np.uint16), right[s].astype(np.uint16), seen))
+                    n += len(seen)
+                    if n >= SHOWN_HELD:
+                        yield _spread(held, n_buckets, SHOWN)
+                        held, n = [], 0
+            if held:
+                yield _spread(held, n_buckets, SHOWN)
 
     return mapped(by_bucket(asked.unionAll(dealt), "kind"), run, BLOB)
 
@@ -240,6 +268,7 @@ def _sort(shown: DataFrame, length: int) -> DataFrame:
             gram, ids, tie, at, left, right, seen = (x[order] for x in (gram, ids, tie, at, left, right, seen))
             group = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
             ends = np.r_[np.flatnonzero(np.diff(group)) + 1, len(group)]
+            found = []
             i = 0
             while i < len(group):  # whole groups at a time
                 j = int(ends[np.searchsorted(ends, min(i + CHUNK, len(group)))])
@@ -256,7 +285,10 @@ def _sort(shown: DataFrame, length: int) -> DataFrame:
                 o = own[first]
                 start = at[o].astype(np.int64) - side + shift[first]
                 end = at[o].astype(np.int64) - side + shift[last] + length
-                yield scatter(_bucket(ids[o], n_buckets), ids[o], tie[o], start.astype(np.uint32), end.astype(np.uint32), kind=COVERED)
+                found.append((ids[o], tie[o], start.astype(np.uint32), end.astype(np.uint32)))
+            if found:
+                cols = [np.concatenate(x) for x in zip(*found)]
+                yield scatter(_bucket(cols[0], n_buckets), *cols, kind=COVERED)
 
     return mapped(by_bucket(shown), run, BLOB)
 
@@ -266,30 +298,32 @@ def _removed(dealt: DataFrame, covered: DataFrame, docs: DataFrame, id_col: str,
         for _, rows in bucket_groups(batches):
             known = [p for k, p in rows if k == COVERED]
             cover = joined(known) if known else [np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
-            for whole in _rows(rows):
-                for b in slices(iter([whole]), text_col, SLICE):
-                    buf, off, ids, tie = _key(b, id_col, text_col)
-                    which, row = _lookup(ids, tie, cover[0], cover[1])
-                    edge = np.zeros(len(buf) + 1, np.int32)
-                    np.add.at(edge, off[row] + cover[2][which], 1)
-                    np.subtract.at(edge, off[row] + cover[3][which], 1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    start = gone.copy()
-                    start[1:] &= ~gone[:-1]
-                    first = off[:-1][off[:-1] < off[1:]]
-                    start[first] = gone[first]
-                    removed = np.diff(np.r_[0, np.cumsum(gone)][off])
-                    spans = np.diff(np.r_[0, np.cumsum(start)][off])
-                    kept = buf[~gone]
-                    to = off - np.r_[0, np.cumsum(removed)]
-                    texts = [kept[i:j].tobytes() for i, j in zip(to[:-1].tolist(), to[1:].tolist())]
-                    if stats:
-                        yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-                    else:
-                        was = b.column(text_col)
-                        text = pc.if_else(pa.array(removed > 0), pa.array([t.decode("utf-8", "ignore") if r else "" for t, r in zip(texts, removed)], was.type), was)
-                        cols = [text if c == text_col else b.column(c) for c in b.schema.names]
-                        yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+            want = _names(cover[0], cover[1])
+            order = np.argsort(want, kind="stable")
+            want = want[order]
+            for b in _rows(rows, text_col):
+                buf, off, ids, tie = _key(b, id_col, text_col)
+                which, row = _lookup(_names(ids, tie), want, order)
+                edge = np.zeros(len(buf) + 1, np.int32)
+                np.add.at(edge, off[row] + cover[2][which], 1)
+                np.subtract.at(edge, off[row] + cover[3][which], 1)
+                gone = np.cumsum(edge)[:-1] > 0
+                start = gone.copy()
+                start[1:] &= ~gone[:-1]
+                first = off[:-1][off[:-1] < off[1:]]
+                start[first] = gone[first]
+                removed = np.diff(np.r_[0, np.cumsum(gone)][off])
+                spans = np.diff(np.r_[0, np.cumsum(start)][off])
+                kept = buf[~gone]
+                to = off - np.r_[0, np.cumsum(removed)]
+                texts = [kept[i:j].tobytes() for i, j in zip(to[:-1].tolist(), to[1:].tolist())]
+                if stats:
+                    yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                else:
+                    was = b.column(text_col)
+                    text = pc.if_else(pa.array(removed > 0), pa.array([t.decode("utf-8", "ignore") if r else "" for t, r in zip(texts, removed)], was.type), was)
+                    cols = [text if c == text_col else b.column(c) for c in b.schema.names]
+                    yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if stats else fields

@@ -6,7 +6,8 @@ one bucket, so a shuffle moves thousands of compressed rows instead of millions
 
 from __future__ import annotations
 
-import io
+import ast
+import math
 import os
 import shutil
 import tempfile
@@ -168,17 +169,17 @@ _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Column after column, so that zstd finds like bytes side by side."""
-    out = io.BytesIO()
-    for a in arrays:
-        np.save(out, a, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    head = repr([(a.dtype.str, a.shape) for a in arrays]).encode()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(head).to_bytes(4, "little"), head, *(a.tobytes() for a in arrays)]))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
+    raw = bytearray(zstandard.ZstdDecompressor().decompress(blob))
+    at = 4 + int.from_bytes(raw[:4], "little")
     out = []
-    while raw.tell() < raw.getbuffer().nbytes:
-        out.append(np.load(raw, allow_pickle=False))
+    for kind, shape in ast.literal_eval(raw[4:at].decode()):
+        out.append(np.frombuffer(raw, kind, math.prod(shape), at).reshape(shape))
+        at += out[-1].nbytes
     return out
 
 
