@@ -7,12 +7,14 @@ to one leader; the second links components by their nearest sets (a spanning for
 third takes whatever pairs are left. Sets that are in one component by then need no answer of
 their own, and later passes compute only pairs between components that the bound leaves.
 
-Identical sets are one set throughout. Links between different sets are all found or implied: the result is the
-components, and the links that were computed.
+Identical sets are one set throughout. All links lie inside components, so the number of links comes last: all pairs of a
+component's sets are compared exactly. A large component is dealt out by classes of size, of which only the same and the
+next can link, and by salts inside a class; a task compares two such blocks at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ BITS = 1024
 FREQUENT, ORDERED = 16, 1_000_000  # documents from which a shingle comes late in the order; at most so many do, the most frequent ones
 SLICE = 2 << 20  # bytes of text looked at at a time
 BROADCAST_IDS = 4_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19  # about so many at most in a block of sets that are compared at once
+COLUMNS = 4096  # shingles that are counted at once
 _U = np.uint64
 
 
@@ -291,11 +295,102 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     return mapped(docs.join(ids, "doc_id").select("doc_id", "text", "sid"), run, "sid long, shingles binary").dropDuplicates(["sid"])
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Numbers of common shingles of the first ``split`` sets and the others; of all sets if split is 0."""
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens)
+    tokens, own = tokens[order], own[order]
+    new = np.r_[True, tokens[1:] != tokens[:-1]]
+    column = np.cumsum(new) - 1
+    shared = (np.bincount(column) > 1)[column]  # shingles of one set alone are in no overlap
+    new, own = new[shared], own[shared]
+    column = np.cumsum(new) - 1
+    rows, cols = (split, len(sets) - split) if split else (len(sets), len(sets))
+    out = np.zeros((rows, cols), np.int64)
+    n = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, n, COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, n - at)), np.float32)
+        has[own[i:j], column[i:j] - at] = 1
+        out += ((has[:split] @ has[split:].T) if split else (has @ has.T)).astype(np.int64)
+    return out
+
+
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(sid, links) of each block pair: how many rows of the other sets there link with a set. Rows are sorted by pair and side."""
+    key = ["component", "class", "salt", "up", "salt2"]
+
+    def counted(t: pa.Table) -> pa.RecordBatch:
+        sid, n, copies, side = (ints(t.column(c))[0] for c in ("sid", "n", "copies", "side"))
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in t.column("shingles").combine_chunks()]
+        split = int((side == 0).sum())
+        if split < len(sets):
+            o = overlaps(sets, split)
+            link = 100 * o >= percent * (n[:split, None] + n[None, split:] - o)
+            got = np.r_[link @ copies[split:], copies[:split] @ link]
+        elif t.column("salt")[0] == t.column("salt2")[0] and not t.column("up")[0].as_py():
+            o = overlaps(sets, 0)
+            link = 100 * o >= percent * (n[:, None] + n[None, :] - o)
+            np.fill_diagonal(link, False)
+            got = link @ copies
+        else:  # the other block has no sets
+            got = np.zeros(len(sets), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(got.astype(np.int64))], ["sid", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:  # a block pair may go on in the next batch
+            if not b.num_rows:
+                continue
+            k = np.stack([ints(b.column(c))[0] for c in key], 1)
+            at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1), True])
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != x for c, x in zip(key, k[0].tolist())):
+                yield counted(pa.Table.from_batches(held))
+                held = []
+            for i, j in zip(at[:-1], at[1:]):
+                held.append(b.slice(i, j - i))
+                if j < b.num_rows:
+                    yield counted(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield counted(pa.Table.from_batches(held))
+
+    n = buckets(rows.sparkSession)
+    return mapped(rows.repartition(n, *key).sortWithinPartitions(*key, "side"), run, "sid long, links long")
+
+
+def _degrees(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(sid, n_links): for each set of members (sid, component, n, copies), the rows of other sets that link with it."""
+    big = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).filter((F.col("m") > BLOCK_SETS) | (F.col("s") > BLOCK_SHINGLES)).select("component")
+    # Sizes of linked sets differ by a factor of 100 / percent at most, so by one class; a hair more, for rounding.
+    step = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
+    classed = members.join(F.broadcast(big.withColumn("big", F.lit(1))), "component", "left").withColumn("class", F.when(F.col("big") == 1, F.floor(F.log("n") / step)).otherwise(0).cast("long"))
+    salts = classed.filter("big = 1").groupBy("component", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("salts"))
+    salts = stored(salts, "salts")
+    for name, by in (("above", 1), ("below", -1)):
+        other = salts.select("component", (F.col("class") - by).alias("class"), F.col("salts").alias(name))
+        classed = classed.join(F.broadcast(other), ["component", "class"], "left")
+    classed = classed.join(F.broadcast(salts), ["component", "class"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    classed = classed.withColumn("own", F.pmod(F.xxhash64("sid"), "salts"))
+    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)).otherwise(F.array())
+    pair = lambda c, salt, up, salt2, side: F.struct(c.alias("class"), salt.alias("salt"), F.lit(up).alias("up"), salt2.alias("salt2"), side.cast("int").alias("side"))
+    c, own = F.col("class"), F.col("own")
+    pairs = F.concat(
+        each("salts", lambda x: pair(c, F.least(x, own), 0, F.greatest(x, own), x < own)),
+        each("above", lambda x: pair(c, own, 1, x, F.lit(0))),
+        each("below", lambda x: pair(c - 1, x, 1, own, F.lit(1))),
+    )
+    dealt = sets.join(classed.select("sid", "component", "n", "copies", pairs.alias("pairs")), "sid")
+    dealt = dealt.select("sid", "component", "n", "copies", "shingles", F.explode("pairs").alias("p")).select("sid", "component", "n", "copies", "shingles", "p.*")
+    return _block_links(dealt, percent).groupBy("sid").agg(F.sum("links").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, n_links.
 
     Documents link when 100 * intersection >= percent * union of their sets. component_id: the least doc_id reachable by
-    links. n_links: links that were computed to other sets; others follow from those and aren't counted. Null, empty and
+    links. n_links: the other rows that link with this one, those of an equal set too; null without count. Null, empty and
     blank texts have no set and link with nothing, so they are components of their own. Rows of one doc_id count as linked
     if their sets do; a null doc_id stays null and counts as the least. Very long texts are whole sets like any other;
     other columns aren't read; an empty table gives no rows.
@@ -343,12 +438,21 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         new = verified(more)
         groups = merged(groups, new)
         links = links.unionAll(new)
+    degree = None
+    if count:
+        linked = reps.select("sid", "doc_id", "n", "copies").join(groups.select(F.col("node").alias("sid"), "component"), "sid")
+        linked = stored(linked, "linked-sets")
+        degree = stored(_degrees(_sets(rows, linked, words), linked.drop("doc_id"), percent), "degrees")
     # Components are numbered by their sets so far; each takes the least doc_id of its sets.
     members = reps.select(F.col("sid").alias("node"), "doc_id").join(groups, "node")
     least = members.groupBy("component").agg(F.min("doc_id").alias("least"))
     groups = members.join(least, "component").select("doc_id", F.col("least").alias("component"))
-    degree = links.select(F.col("a").alias("sid")).unionAll(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
-    per_set = reps.select("sid", "doc_id").join(groups, "doc_id", "left").join(degree, "sid", "left").select("sid", F.coalesce("component", "doc_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_set = reps.select("sid", "doc_id", "copies").join(groups, "doc_id", "left")
+    if count:
+        per_set = per_set.join(degree, "sid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+    else:
+        per_set = per_set.withColumn("n_links", F.lit(None).cast("long"))
+    per_set = per_set.select("sid", F.coalesce("component", "doc_id").alias("component"), "n_links")
     out = own.select("doc_id", "sid", "n").join(per_set, "sid", "left")
     null = F.lit(None).cast("long")
     alone = F.col("n") == 0
@@ -362,7 +466,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Leaves the document with the least id of each class, with all columns; of repeated rows of it, the largest one."""
-    classes = jaccard_classes(docs, words, percent, id_col, text_col)
+    classes = jaccard_classes(docs, words, percent, id_col, text_col, count=False)
     drop = classes.filter("NOT component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()
     left = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
     return left

@@ -57,6 +57,23 @@ def test_jaccard_classes_are_those_of_all_pairs(docs):
         assert got == expected
 
 
+def test_jaccard_links_are_those_of_all_pairs(docs, monkeypatch):
+    df, rows = docs
+    lower = lambda t: re.findall(rb"[^\x20\x09-\x0d]+", bytes(x + 32 if 65 <= x <= 90 else x for x in (t or "").encode()))
+    more = [(900, rows[40][1].upper(), "d"), (901, rows[40][1].replace(" ", "  "), "d"), (902, "z " + " ".join(f"l{i}" for i in range(90)), "d"), (903, " ".join(f"l{i}" for i in range(90)), "d")]
+    df = df.union(df.sparkSession.createDataFrame(more, df.schema))
+    for (n_words, percent), block in (((4, 85), 256), ((2, 60), 7), ((2, 60), 256)):  # small blocks: classes and salts
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+        sets = []
+        for _, t, _ in rows + more:
+            x = lower(t)
+            sets.append({tuple(x[k : k + n_words]) for k in range(max(1, len(x) - n_words + 1))} if x else set())
+        links = [sum(1 for j, y in enumerate(sets) if i != j and x and y and 100 * len(x & y) >= percent * len(x | y)) for i, x in enumerate(sets)]
+        assert max(links) > 20
+        expected = sorted(repr((d, n)) for (d, _, _), n in zip(rows + more, links))
+        assert sorted(repr((r.doc_id, r.n_links)) for r in jaccard.jaccard_classes(df, n_words, percent).collect()) == expected
+
+
 def test_repeats_are_those_of_all_windows(docs):
     df, rows = docs
     rows = [r for r in rows if r[0] is not None]
