@@ -33,6 +33,34 @@ def test_judgement_counts(spark):
     assert got[3, ""] == 280 and got[3, "PendingRefNotFound"] == 213
 
 
+def test_judged_requests_have_chains_and_budgets(spark):
+    got = {(r.phase, r.error): r.n for r in __spark_entry__.queries()["judge_seq_outcomes"](spark, SF).collect() if r.phase > 3}
+    n = [spark.read.parquet(f"{SF}/customer.parquet").filter(f"c_custkey % 3 = {i}").count() for i in range(3)]
+    assert got == {(4, ""): 2 * n[0], (4, "InsufficientBalance"): 2 * n[1], (4, "LinkedChainUnterminated"): n[2], (5, ""): 2 * sum(n), (6, ""): 2 * n[0], (6, "SharedBudgetGroupRequired"): n[1], (6, "SharedBudgetGroupIncomplete"): 2 * n[2]}
+
+
+def test_judge_seq_reads_ends_of_batches_and_answers_all_ledgers(spark):
+    from tallyforge.plans import judge
+
+    rows = [  # ledger, tx_id, pending_ref, debit, credit, amount, flags, end_of_batch
+        (7, 1, 0, EXT, A, 50, LINKED, False), (7, 2, 0, A, B, 50, 0, True),
+        (7, 3, 0, EXT, A, 50, LINKED, False), (7, 4, 0, A, B, 60, 0, True),
+        (7, 5, 0, EXT, A, 50, LINKED, True), (7, 6, 0, A, B, 1, 0, True),
+        (7, 7, 0, EXT, A, 9, LINKED, None), (8, 8, 0, EXT, A, 50, 0, True), (8, 9, 0, A, A, 50, 0, True), (None, 10, 0, EXT, A, 5, 0, True),
+    ]
+    asked = spark.createDataFrame([(*r, r[1] % 2) for r in rows], "ledger long, tx_id long, pending_ref long, debit_account long, credit_account long, amount long, flags int, end_of_batch boolean, phase int")
+    asked = asked.selectExpr("*", "timestamp_seconds(tx_id) AS at")
+    accounts = spark.createDataFrame([(EXT, 7, False), (A, 7, True), (B, 7, True), (D, 9, True)], "account_id long, ledger long, constrained boolean")
+    got = {r.tx_id: (r.ledger, r.phase, r.error) for r in judge.judge_seq(asked, accounts).collect()}
+    errors = ["", "", "InsufficientBalance", "InsufficientBalance", "LinkedChainUnterminated", "InsufficientBalance", "LinkedChainUnterminated", "UnknownDebitAccount", "SameAccount", "UnknownDebitAccount"]
+    assert got == {r[1]: (r[0], r[1] % 2, e) for r, e in zip(rows, errors)}
+
+
+def test_answers_keep_the_order_of_requests():
+    rows = [(1, 0, EXT, A, 5, LINKED, False), (-1, 0, EXT, A, 5, 0, False), (2, 0, A, B, 5, 0, False)]
+    assert list(Desk().book.judge(rows)) == [(1, ""), (-1, "ReservedTransactionId"), (2, "")]
+
+
 EXT, A, B, P, D = 1, 10, 11, 12, 13
 
 
