@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components, merged
@@ -83,21 +83,21 @@ def prefix_size(n, percent: int):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("key"))
 
 
 def _measure(rows: DataFrame, words: int) -> DataFrame:
     """kind 0: a document's set; kind 1: blobs of shingles that are in two documents of a batch or more, and how many."""
     n_buckets = buckets(rows.sparkSession)
-    schema = "kind int, doc_id long, sid long, n long, bitmap binary, bucket int, payload binary"
-    names = ["kind", "doc_id", "sid", "n", "bitmap", "bucket", "payload"]
+    schema = "kind int, doc_id long, sid long, n long, bitmap binary, bucket int, payload binary, key long"
+    names = ["kind", "doc_id", "sid", "n", "bitmap", "bucket", "payload", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             sets, off = shingle_sets(*flat(b.column(1)), words)
             k = b.num_rows
             null = pa.nulls(k, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0), pa.array(set_ids(sets, off)), pa.array(np.diff(off)), pa.array(bitmaps(sets, off), pa.binary()), pa.nulls(k, pa.int32()), null], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0), pa.array(set_ids(sets, off)), pa.array(np.diff(off)), pa.array(bitmaps(sets, off), pa.binary()), pa.nulls(k, pa.int32()), null, b.column(2)], names)
             order = np.sort(sets)
             at = np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.zeros(0, int)
             count = np.diff(np.r_[at, len(order)])
@@ -107,7 +107,7 @@ def _measure(rows: DataFrame, words: int) -> DataFrame:
                 s = scatter((tokens % _U(n_buckets)).astype(np.int32), tokens, count[more].astype(np.int64))
                 k = s.num_rows
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, none, pa.nulls(k, pa.binary()), s.column(0), s.column(2)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, none, pa.nulls(k, pa.binary()), s.column(0), s.column(2), none], names)
 
     return mapped(rows, run, schema)
 
@@ -386,14 +386,10 @@ def _degrees(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return _block_links(dealt, percent).groupBy("sid").agg(F.sum("links").alias("n_links"))
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, n_links.
+def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, count: bool) -> DataFrame:
+    """Per row: doc_id (NULL_ID for null), key (of the text), n, class (a number), component (its least doc_id), n_links (null without count).
 
-    Documents link when 100 * intersection >= percent * union of their sets. component_id: the least doc_id reachable by
-    links. n_links: the other rows that link with this one, those of an equal set too; null without count. Null, empty and
-    blank texts have no set and link with nothing, so they are components of their own. Rows of one doc_id count as linked
-    if their sets do; a null doc_id stays null and counts as the least. Very long texts are whole sets like any other;
-    other columns aren't read; an empty table gives no rows.
+    Rows are told apart by doc_id and key, as ids may repeat.
     """
     rows = _rows(docs, id_col, text_col)
     measured = stored(_measure(rows, words), "sets")
@@ -446,14 +442,25 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Components are numbered by their sets so far; each takes the least doc_id of its sets.
     members = reps.select(F.col("sid").alias("node"), "doc_id").join(groups, "node")
     least = members.groupBy("component").agg(F.min("doc_id").alias("least"))
-    groups = members.join(least, "component").select("doc_id", F.col("least").alias("component"))
-    per_set = reps.select("sid", "doc_id", "copies").join(groups, "doc_id", "left")
+    groups = members.join(least, "component").select(F.col("node").alias("sid"), "component", "least")
+    per_set = reps.select("sid", "doc_id", "copies").join(groups, "sid", "left")
     if count:
         per_set = per_set.join(degree, "sid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
     else:
         per_set = per_set.withColumn("n_links", F.lit(None).cast("long"))
-    per_set = per_set.select("sid", F.coalesce("component", "doc_id").alias("component"), "n_links")
-    out = own.select("doc_id", "sid", "n").join(per_set, "sid", "left")
+    per_set = per_set.select("sid", F.coalesce("component", "sid").alias("class"), F.coalesce("least", "doc_id").alias("component"), "n_links")
+    return own.select("doc_id", "sid", "key", "n").join(per_set, "sid", "left")
+
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, n_links.
+
+    Documents link when 100 * intersection >= percent * union of their sets. component_id: the least doc_id reachable by
+    links. n_links: the other rows that link with this one, those of an equal set too. Null, empty and
+    blank texts have no set and link with nothing, so they are components of their own. Rows of one doc_id count as linked
+    if their sets do; a null doc_id stays null and counts as the least. Very long texts are whole sets like any other;
+    other columns aren't read; an empty table gives no rows.
+    """
+    out = _classes(docs, words, percent, id_col, text_col, True)
     null = F.lit(None).cast("long")
     alone = F.col("n") == 0
     return out.select(
@@ -465,11 +472,20 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Leaves the document with the least id of each class, with all columns; of repeated rows of it, the largest one."""
-    classes = jaccard_classes(docs, words, percent, id_col, text_col, count=False)
-    drop = classes.filter("NOT component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    return left
+    """Leaves one row of each class, with all columns: the least id; of several rows of it the one with the largest set."""
+    own = stored(_classes(docs, words, percent, id_col, text_col, False).filter("n > 0").select("doc_id", "key", "n", "class"), "classes")
+    best = own.groupBy("class").agg(F.min(F.struct("doc_id", -F.col("n"), "key")).alias("best")).select("class", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
+    drop = own.join(best, "class").filter("doc_id <> best_id OR key <> best_key").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    again = own.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).count().filter("count > 1").select("_id", "_key")
+    near = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_key": F.xxhash64(F.col(text_col).cast("string"))})
+    left = keyed.join(near(drop), ["_id", "_key"], "left_anti")
+    if not again.isEmpty():  # rows that repeat both id and text: one of them
+        again = stored(again, "repeated-rows")
+        order = F.to_json(F.struct(*docs.columns)).desc()
+        one = left.join(near(again), ["_id", "_key"], "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(order))).filter("_row = 1").drop("_row")
+        left = left.join(near(again), ["_id", "_key"], "left_anti").unionByName(one)
+    return left.select(*docs.columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

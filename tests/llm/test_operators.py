@@ -74,6 +74,16 @@ def test_jaccard_links_are_those_of_all_pairs(docs, monkeypatch):
         assert sorted(repr((r.doc_id, r.n_links)) for r in jaccard.jaccard_classes(df, n_words, percent).collect()) == expected
 
 
+def test_near_dedup_leaves_one_row_of_each_class(spark):
+    t = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(1, t[0], "x"), (5, t[0] + " z", "x"), (5, t[1], "x"), (7, t[1], "y"), (3, t[2], "x"), (3, t[2] + " z", "x"), (4, t[3], "x"), (4, t[3], "y"), (None, t[1] + " odd", "x"), (8, "", "x"), (8, None, "x")]
+    got = jaccard.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, s string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], rows[5], rows[7], rows[8], rows[9], rows[10]]))
+    some = [(5, t[0], "x"), (5, t[1], "x"), (9, t[0] + " z", "x"), (1, t[1], "x")]
+    got = jaccard.near_dedup(spark.createDataFrame(some, "doc_id long, text string, s string")).collect()
+    assert sorted(map(tuple, got)) == [(1, t[1], "x"), (5, t[0], "x")]
+
+
 def test_repeats_are_those_of_all_windows(docs):
     df, rows = docs
     rows = [r for r in rows if r[0] is not None]
