@@ -1,8 +1,8 @@
 """Exact Jaccard join of shingle sets by set-relation skipping.
 
-Index lists hold, per prefix shingle, the sets that have it, ordered by size and position. Sets of other sizes are skipped
-block-wise, and so are positions from which the wanted overlap can't be reached. Where a list is long, its sets are mostly
-much alike: there the answers follow from those of a similar set. The first pass links each set of a list
+Index lists hold, per prefix shingle, the sets that have it, with size and position. Pairs of other sizes are skipped one by
+one, and so are positions from which the wanted overlap can't be reached. Where a list is long, its sets are mostly
+much alike: there links to a leader and a spanning forest stand for the pairs of a component. The first pass links each set of a list
 to one leader; the second links components by their nearest sets (a spanning forest by a bound on their difference); the
 third takes whatever pairs are left. Sets that are in one component by then need no answer of
 their own, and later passes compute only pairs between components that the bound leaves.
