@@ -7,10 +7,10 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import stored
+from tallyforge.llm.shared import fresh, stored
 
 PREFIX = 64
-BROADCAST_GROUPS = 1_000_000  # of 16 bytes each: the proven bound of the broadcast
+BROADCAST_GROUPS = 500_000  # groups up to which a side is broadcast: prefixes of 16 bytes or digests of 64 with an id; counted first
 
 
 def normal(text: Column) -> Column:
@@ -18,50 +18,74 @@ def normal(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds what the first two refinements group by; neither looks at more than the first characters."""
+def _keys(text_col: str) -> tuple[Column, Column]:
+    """What the first two refinements group by; neither looks at more than the length and the first characters."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_length", F.octet_length(text)).withColumn("_prefix", F.xxhash64(normal(F.substring(text, 1, PREFIX))))
+    return F.octet_length(text), F.xxhash64(normal(F.substring(text, 1, PREFIX)))
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(groups, candidates): what remains after each refinement.
+def _near(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
 
-    candidates: the rows whose length and prefix hash occur more than once, with all columns and ``_full``, the full hash;
-    only their texts are read whole. groups: per full hash that occurs more than once, keep_id (largest id, null if all
-    are null) and group_size. Counts are pre-aggregated before each shuffle, so a hot group is one row per task.
+
+def _digest(text_col: str) -> Column:
+    return F.sha2(normal(F.col(text_col)), 256)
+
+
+def shared_prefixes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(length, prefix) that more than one row has: by length, then by prefix hash within the lengths that are left.
+
+    Counts are pre-aggregated before each shuffle, so a hot group is one row per task.
     """
-    keys = stored(_keyed(docs.select(text_col), text_col).select("_length", "_prefix"), "exact-keys")
-    pairs = keys.groupBy("_length", "_prefix").agg(F.count("*").alias("n"))
-    lengths = pairs.groupBy("_length").agg(F.sum("n").alias("all")).filter("all > 1").select("_length")
-    prefixes = pairs.filter("n > 1").join(lengths, "_length", "left_semi").select("_length", "_prefix")
-    prefixes = stored(prefixes, "exact-prefixes")
-    left = F.broadcast(prefixes) if prefixes.count() <= BROADCAST_GROUPS else prefixes
-    candidates = _keyed(docs, text_col).join(left, ["_length", "_prefix"], "left_semi").withColumn("_full", F.sha2(normal(F.col(text_col)), 256))
-    groups = candidates.groupBy("_full").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return stored(groups, "exact-groups"), candidates
+    length, prefix = _keys(text_col)
+    keys = stored(docs.select(length.alias("length"), prefix.alias("prefix")), "exact-keys")
+    pairs = keys.groupBy("length", "prefix").agg(F.count("*").alias("n"))
+    lengths = pairs.groupBy("length").agg(F.sum("n").alias("all")).filter("all > 1").select("length")
+    return stored(pairs.filter("n > 1").join(lengths, "length", "left_semi").select("length", "prefix"), "exact-prefixes")
+
+
+def _digested(docs: DataFrame, prefixes: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """The rows with one more column, the full hash, and its name; null for rows that are alone by now, which aren't read whole."""
+    full = fresh("full", *docs.columns)
+    length, prefix, left = (fresh(c, *docs.columns, full) for c in ("length", "prefix", "left"))
+    keyed = docs.withColumns(dict(zip((length, prefix), _keys(text_col))))
+    marks = prefixes.select(F.col("length").alias(length), F.col("prefix").alias(prefix), F.lit(True).alias(left))
+    marked = keyed.join(_near(marks), [length, prefix], "left")
+    return marked.select(*(F.col(f"`{c}`") for c in docs.columns), F.when(F.col(left), _digest(text_col)).alias(full)), full
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Leaves one row of each group of equal texts: the largest id; of repeated rows of it, the largest by all columns.
+    """Leaves one row of each group of equal texts: the largest id (a null one is the least); of repeated rows of it, one.
 
-    Texts are equal when identical after lower-casing A-Z. Null and empty texts are one group. Rows keep their columns.
+    Texts are equal when identical after lower-casing A-Z. Null and empty texts are one group. Rows keep their columns,
+    whatever their names and types; of rows that repeat both id and text the one with the largest JSON form stays. Only
+    texts whose length and prefix hash occur again are read whole, and rows are moved only where an id repeats.
     """
-    groups, candidates = repeated(docs, id_col, text_col)
-    own = candidates.join(groups.select("_full"), "_full", "left_semi")
-    rest = [c for c in docs.columns if c != id_col]
-    one = own.groupBy("_full").agg(F.max(F.struct(id_col, *rest)).alias("_row")).select("_row.*").select(*docs.columns)
-    hashed = docs.withColumns({"_length": F.octet_length(F.coalesce(F.col(text_col), F.lit("")))}).withColumn("_full", F.sha2(normal(F.col(text_col)), 256))
-    alone = hashed.join(groups.select("_full"), "_full", "left_anti").select(*docs.columns)
-    return alone.unionByName(one)
+    rows, full = _digested(docs, shared_prefixes(docs, text_col), text_col)
+    kept = rows.filter(F.col(full).isNotNull()).groupBy(F.col(full).alias("h")).agg(F.max(id_col).alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    copies = rows.filter(F.col(full).isNotNull()).groupBy(F.col(full).alias("h"), F.col(id_col).alias("keep")).agg(F.count("*").alias("same"))
+    kept = kept.join(copies, kept["h"].eqNullSafe(copies["h"]) & kept["keep"].eqNullSafe(copies["keep"])).select(kept["h"], kept["keep"], "same")
+    groups = stored(kept, "exact-groups")
+    keep, same, h = (fresh(c, *rows.columns) for c in ("keep", "same", "h"))
+    near = _near(groups.select(F.col("h").alias(h), F.col("keep").alias(keep), F.col("same").alias(same)))
+    joined = rows.join(near, F.col(full) == F.col(h), "left")
+    left = joined.filter(F.col(h).isNull() | F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(same) == 1)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    if groups.filter("same > 1").isEmpty():
+        return left
+    # Rows that repeat id and text: an aggregate takes one, so many of them don't meet in a task.
+    again = joined.filter(F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(same) > 1))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = again.groupBy(full).agg(F.max_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return left.unionByName(one)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of every row. Rows that repeat both doc_id and text share their flags."""
+    """Flags of every row. Rows that repeat both doc_id and text share their flags. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    groups, _ = repeated(docs)
-    rows = docs.select("doc_id", F.sha2(normal(F.col("text")), 256).alias("text_sha256"))
-    joined = rows.join(groups.withColumnRenamed("_full", "text_sha256"), "text_sha256", "left")
+    rows, full = _digested(docs, shared_prefixes(docs), "text")
+    groups = stored(rows.filter(F.col(full).isNotNull()).groupBy(full).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "exact-groups")
+    digests = docs.select("doc_id", _digest("text").alias("text_sha256"))
+    joined = digests.join(_near(groups.withColumnRenamed(full, "text_sha256")), "text_sha256", "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")

@@ -1,15 +1,17 @@
 """Exact Jaccard join of shingle sets by set-relation skipping.
 
-Index lists hold, per prefix shingle, the sets that have it, with size and position. Pairs of other sizes are skipped one by
-one, and so are positions from which the wanted overlap can't be reached. Where a list is long, its sets are mostly
-much alike: there links to a leader and a spanning forest stand for the pairs of a component. The first pass links each set of a list
-to one leader; the second links components by their nearest sets (a spanning forest by a bound on their difference); the
-third takes whatever pairs are left. Sets that are in one component by then need no answer of
-their own, and later passes compute only pairs between components that the bound leaves.
-
-Identical sets are one set throughout. All links lie inside components, so the number of links comes last: all pairs of a
-component's sets are compared exactly. A large component is dealt out by classes of size, of which only the same and the
-next can link, and by salts inside a class; a task compares two such blocks at a time.
+Index lists hold, per prefix shingle, the sets that have it, with size and position. A list is cut into blocks of one
+(size, position) each; pairs of blocks whose sizes or positions rule a link out are skipped before a set is looked at.
+
+Answers follow from those of similar sets in two places. In a list, the sets of one component so far have one set whose
+differences (by bitmaps) are computed; the others only look at what is near enough to it. Where overlaps are counted, a
+set's overlaps come from those of a similar set and the index lists of the shingles in which the two differ.
+
+Components come first: each set of a list is compared with one leader, then components are joined by spanning forests
+within the lists, then whatever pairs are left between components. All links lie inside components, so the number of links
+comes last: all pairs of a component's sets are compared exactly. A large component is dealt out by classes of size, of
+which only the same and the next can link, and by salts inside a class; a task compares two such blocks at a time.
+Identical sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -19,19 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components, merged
-from tallyforge.llm.shared import BLOB, NULL_ID, buckets, bucket_groups, by_bucket, flat, id_array, ints, joined, mapped, mix, scatter, slices, stored
+from tallyforge.llm.shared import BLOB, NULL_ID, bucket_groups, buckets, by_bucket, flat, fresh, ints, joined, mapped, mix, ragged, scatter, slices, stored
 from tallyforge.llm.shingles import shingle_sets
 
 BITS = 1024
 FREQUENT, ORDERED = 16, 1_000_000  # documents from which a shingle comes late in the order; at most so many do, the most frequent ones
 SLICE = 2 << 20  # bytes of text looked at at a time
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000  # rows of two or three numbers up to which a side is broadcast
+LIST_SETS = 1024  # about so many sets of a list on one side of a piece of work
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19  # about so many at most in a block of sets that are compared at once
-COLUMNS = 4096  # shingles that are counted at once
 _U = np.uint64
 
 
@@ -82,6 +84,11 @@ def prefix_size(n, percent: int):
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """For a join: broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("key"))
 
@@ -197,68 +204,137 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     return mapped(by_bucket(postings), run, "token long, a long, b long, n long, pos long")
 
 
-def _list_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Pairs of lists between components that the bitmaps leave: a spanning forest by difference, or all."""
-
-    def one(sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = len(sid)
-        left, right = [], []
-        best, parent, free = np.full(m, np.inf), np.full(m, -1), np.ones(m, bool)
-        now = 0
-        while True:
-            differ = np.bitwise_count(maps ^ maps[now]).sum(1)
-            ok = (differ <= n + n[now] - 2 * needed(n, n[now], percent)) & _reaches(n, pos, n[now], pos[now], percent) & (group != group[now])
-            if all_pairs:
-                at = np.flatnonzero(ok[now + 1 :]) + now + 1
-                left.append(np.full(len(at), now)), right.append(at)
-                now += 1
-                if now == m:
-                    break
-                continue
-            free[now] = False
-            nearer = free & ok & (differ < best)
-            best[nearer], parent[nearer] = differ[nearer], now
-            nearer = free & (group == group[now])
-            best[nearer], parent[nearer] = -1, -1
-            rest = np.flatnonzero(free)
-            if not len(rest):
-                break
-            now = int(rest[np.argmin(best[rest])])
-            if parent[now] >= 0 and best[now] < np.inf:
-                left.append([parent[now]]), right.append([now])
-        a, b = (np.concatenate(x).astype(int) if x else np.zeros(0, int) for x in (left, right))
-        return sid[a], sid[b]
+def open_blocks(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
+    """Which blocks of one side, each a (size, position), can have links with which of the other; whole blocks are skipped."""
+    na, pa_ = na[:, None], pa_[:, None]
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & _reaches(na, pa_, nb, pb, percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            token, sid, n, pos, group = (ints(t.column(c))[0] for c in ("token", "sid", "n", "pos", "grp"))
-            maps = np.stack([folded(m, BITS // 8) for m in t.column("bitmap").to_pylist()])
-            at = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-            for i, j in zip(at[:-1], at[1:]):
-                if (group[i:j] != group[i]).any():
-                    a, b = one(sid[i:j], n[i:j], pos[i:j], group[i:j], maps[i:j])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for b in batches:  # a list may go on in the next batch
-            if not b.num_rows:
-                continue
-            if held and held[-1].column("token")[-1] != b.column("token")[0]:
-                yield from flush()
+class Side:
+    """One side of a pair of list blocks: sets in the order (size, position), and where each (size, position) block begins."""
+
+    def __init__(self, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, maps: np.ndarray):
+        order = np.lexsort((sid, pos, n))
+        self.sid, self.n, self.pos, self.group, self.maps = (x[order] for x in (sid, n, pos, group, maps))
+        self.first = np.flatnonzero(np.r_[True, (self.n[1:] != self.n[:-1]) | (self.pos[1:] != self.pos[:-1])]) if len(sid) else np.zeros(0, int)
+        self.block = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(sid)]))
+
+
+def list_pairs(a: Side, b: Side, percent: int, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, difference of bitmaps) of sets of different groups that the bitmaps leave.
+
+    Blocks are skipped by size and position before any bitmap is read. Of the sets of one group the first has its
+    differences computed; another one y of them, at a distance d from it, can only reach what is at most d farther from
+    the first than a link allows, so only for that y's own differences are computed. ``work`` collects how many are.
+    """
+    if not len(a.sid) or not len(b.sid):
+        return (np.zeros(0, int),) * 3
+    open_ = open_blocks(a.n[a.first], a.pos[a.first], b.n[b.first], b.pos[b.first], percent)
+    order = np.argsort(a.group, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(a.group[order]) != 0, True])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        members = order[i:j]
+        other = b.group != a.group[members[0]]
+        cols = np.flatnonzero(open_[np.unique(a.block[members])].any(0)[b.block] & other)
+        if not len(cols):
+            continue
+        base = members[0]
+        away = np.bitwise_count(b.maps[cols] ^ a.maps[base]).sum(1).astype(np.int64)
+        if work is not None:
+            work.append(len(cols))
+        for y in members:
+            at = open_[a.block[y]][b.block[cols]]
+            allowed = a.n[y] + b.n[cols] - 2 * needed(a.n[y], b.n[cols], percent)
+            if y == base:
+                at &= away <= allowed
+                hit, diff = cols[at], away[at]
+            else:
+                step = int(np.bitwise_count(a.maps[y] ^ a.maps[base]).sum())
+                at &= away - step <= allowed
+                hit = cols[at]
+                diff = np.bitwise_count(b.maps[hit] ^ a.maps[y]).sum(1).astype(np.int64)
+                if work is not None:
+                    work.append(len(hit))
+                near = diff <= allowed[at]
+                hit, diff = hit[near], diff[near]
+            if len(hit):
+                out.append((np.full(len(hit), y), hit, diff))
+    if not out:
+        return (np.zeros(0, int),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def forest(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Edges of a spanning forest of least cost, by Kruskal's method."""
+    names, code = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = code[: len(left)].tolist(), code[len(left) :].tolist()
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    taken = []
+    for e in np.argsort(cost, kind="stable").tolist():
+        x, y = top(a[e]), top(b[e])
+        if x != y:
+            parent[x] = y
+            taken.append(e)
+    return np.array(taken, int)
+
+
+def _by_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows with the same keys; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:  # a group may go on in the next batch
+        if not b.num_rows:
+            continue
+        k = np.stack([ints(b.column(c))[0] for c in keys], 1)
+        at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1), True])
+        if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != x for c, x in zip(keys, k[0].tolist())):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(at[:-1], at[1:]):
+            held.append(b.slice(i, j - i))
+            if j < b.num_rows:
+                yield pa.Table.from_batches(held)
                 held = []
-            last = b.column("token")[b.num_rows - 1].as_py()
-            start = int(np.flatnonzero(b.column("token").to_numpy() == last)[0])
-            held.append(b.slice(0, start) if start else b)
-            if start:
-                yield from flush()
-                held = [b.slice(start)]
-        if held:
-            yield from flush()
+    if held:
+        yield pa.Table.from_batches(held)
 
-    n = buckets(rows.sparkSession)
-    return mapped(rows.repartition(n, "token").sortWithinPartitions("token", "n", "sid"), run, "a long, b long")
+
+def _list_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Pairs of lists between groups that the bitmaps leave: a spanning forest by difference, or all.
+
+    A long list is dealt out by salts, and each pair of salts is one piece of work.
+    """
+    keys = ["token", "salt", "salt2"]
+    own = F.pmod(F.xxhash64("sid"), "salts")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda x: F.struct(F.least(x, own).alias("salt"), F.greatest(x, own).alias("salt2"), (x < own).cast("int").alias("side")))
+    dealt = rows.withColumn("p", F.explode(pairs)).select("token", "sid", "n", "pos", "grp", "bitmap", "p.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_keys(batches, keys):
+            sid, n, pos, group, side = (ints(t.column(c))[0] for c in ("sid", "n", "pos", "grp", "side"))
+            maps = np.stack([folded(m, BITS // 8) for m in t.column("bitmap").to_pylist()])
+            same = t.column("salt")[0] == t.column("salt2")[0]
+            a = Side(*(x[side == 0] for x in (sid, n, pos, group, maps)))
+            b = a if same else Side(*(x[side == 1] for x in (sid, n, pos, group, maps)))
+            left, right, cost = list_pairs(a, b, percent)
+            if same:
+                once = left < right
+                left, right, cost = left[once], right[once], cost[once]
+            if len(left) and not all_pairs:
+                e = forest(a.group[left], b.group[right], cost)
+                left, right = left[e], right[e]
+            x, y = a.sid[left], b.sid[right]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mapped(dealt.repartition(n, *keys).sortWithinPartitions(*keys), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -283,7 +359,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """(sid, shingles) of the representatives of the chosen sets, made anew from their texts."""
     ids = chosen.select("doc_id", "sid")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = _near(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
@@ -295,25 +371,40 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     return mapped(docs.join(ids, "doc_id").select("doc_id", "text", "sid"), run, "sid long, shingles binary").dropDuplicates(["sid"])
 
 
-def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
-    """Numbers of common shingles of the first ``split`` sets and the others; of all sets if split is 0."""
-    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    tokens = np.concatenate(sets)
-    order = np.argsort(tokens)
-    tokens, own = tokens[order], own[order]
-    new = np.r_[True, tokens[1:] != tokens[:-1]]
-    column = np.cumsum(new) - 1
-    shared = (np.bincount(column) > 1)[column]  # shingles of one set alone are in no overlap
-    new, own = new[shared], own[shared]
-    column = np.cumsum(new) - 1
-    rows, cols = (split, len(sets) - split) if split else (len(sets), len(sets))
-    out = np.zeros((rows, cols), np.int64)
-    n = int(column[-1]) + 1 if len(column) else 0
-    for at in range(0, n, COLUMNS):
-        i, j = np.searchsorted(column, (at, at + COLUMNS))
-        has = np.zeros((len(sets), min(COLUMNS, n - at)), np.float32)
-        has[own[i:j], column[i:j] - at] = 1
-        out += ((has[:split] @ has[split:].T) if split else (has @ has.T)).astype(np.int64)
+def overlaps(sets: list[np.ndarray], split: int, work: list[int] | None = None) -> np.ndarray:
+    """Numbers of common shingles of the first ``split`` sets and the others; of all sets if split is 0.
+
+    The first set's numbers come from the index lists of all its shingles, those of each other one from the numbers of the
+    set before it (in the order of their first shingles) and the lists of the differing shingles alone, where these are
+    the fewer. ``work`` collects how many lists are read for each set.
+    """
+    rows, cols = (sets[:split], sets[split:]) if split else (sets, sets)
+    tokens = np.concatenate(cols)
+    own = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
+    order = np.argsort(tokens, kind="stable")
+    names, starts, lens = np.unique(tokens[order], return_index=True, return_counts=True)
+    own = own[order]
+
+    def lists(x: np.ndarray) -> np.ndarray:
+        """How often each column is in the lists of these shingles."""
+        if work is not None:
+            work.append(len(x))
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        at = at[names[at] == x]
+        return np.bincount(own[ragged(starts[at], lens[at])], minlength=len(cols))
+
+    out = np.zeros((len(rows), len(cols)), np.int64)
+    last = None
+    for i in sorted(range(len(rows)), key=lambda i: rows[i][:1].tolist()):
+        x = rows[i]
+        if last is not None:
+            was = rows[last]
+            more, less = np.setdiff1d(x, was, True), np.setdiff1d(was, x, True)
+        if last is None or len(more) + len(less) >= len(x):
+            out[i] = lists(x)
+        else:
+            out[i] = out[last] + lists(more) - lists(less)
+        last = i
     return out
 
 
@@ -339,24 +430,10 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(got.astype(np.int64))], ["sid", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:  # a block pair may go on in the next batch
-            if not b.num_rows:
-                continue
-            k = np.stack([ints(b.column(c))[0] for c in key], 1)
-            at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1), True])
-            if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != x for c, x in zip(key, k[0].tolist())):
-                yield counted(pa.Table.from_batches(held))
-                held = []
-            for i, j in zip(at[:-1], at[1:]):
-                held.append(b.slice(i, j - i))
-                if j < b.num_rows:
-                    yield counted(pa.Table.from_batches(held))
-                    held = []
-        if held:
-            yield counted(pa.Table.from_batches(held))
-
-    n = buckets(rows.sparkSession)
+        for t in _by_keys(batches, key):
+            yield counted(t)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mapped(rows.repartition(n, *key).sortWithinPartitions(*key, "side"), run, "sid long, links long")
 
 
@@ -423,8 +500,8 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         own_group = groups.select(F.col("node").alias("sid"), F.col("component").alias("grp"))
         grouped = stored(lists.join(own_group, "sid", "left").withColumn("grp", F.coalesce("grp", "sid")), "lists")
         # Lists with one component have nothing left to answer.
-        open_ = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("token")
-        lists = stored(grouped.join(open_, "token", "left_semi"), "open-lists")
+        open_ = stored(grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.ceil(F.count("*") / LIST_SETS).cast("long").alias("salts")).filter("lo <> hi").select("token", "salts"), "open-tokens")
+        lists = stored(grouped.drop("salts").join(_near(open_), "token"), "open-lists")
         if lists.isEmpty():
             break
         more = stored(_list_pairs(lists.join(maps.select("sid", "bitmap"), "sid"), percent, all_pairs).distinct().join(links, ["a", "b"], "left_anti"), "more-pairs")
@@ -472,21 +549,26 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Leaves one row of each class, with all columns: the least id; of several rows of it the one with the largest set."""
+    """Leaves one row of each class, with all columns: the least id; of several rows of it the one with the largest set.
+
+    Of rows that repeat id and text one stays, the one with the largest JSON form. Rows without words all stay; a null id
+    is the least. Columns may have any name and type. An empty table gives no rows.
+    """
     own = stored(_classes(docs, words, percent, id_col, text_col, False).filter("n > 0").select("doc_id", "key", "n", "class"), "classes")
+    id_, key, full = (fresh(c, *docs.columns) for c in ("id", "key", "row"))
     best = own.groupBy("class").agg(F.min(F.struct("doc_id", -F.col("n"), "key")).alias("best")).select("class", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
-    drop = own.join(best, "class").filter("doc_id <> best_id OR key <> best_key").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    again = own.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).count().filter("count > 1").select("_id", "_key")
-    near = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_key": F.xxhash64(F.col(text_col).cast("string"))})
-    left = keyed.join(near(drop), ["_id", "_key"], "left_anti")
-    if not again.isEmpty():  # rows that repeat both id and text: one of them
-        again = stored(again, "repeated-rows")
-        order = F.to_json(F.struct(*docs.columns)).desc()
-        one = left.join(near(again), ["_id", "_key"], "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(order))).filter("_row = 1").drop("_row")
-        left = left.join(near(again), ["_id", "_key"], "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    drop = own.join(best, "class").filter("doc_id <> best_id OR key <> best_key").select(F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
+    again = stored(own.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key)).count().filter("count > 1").select(id_, key), "repeated-rows")
+    keyed = docs.withColumns({id_: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), key: F.xxhash64(F.col(text_col).cast("string"))})
+    left = keyed.join(_near(stored(drop, "dropped")), [id_, key], "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return left.select(*columns)
+    # An aggregate takes one row of many, so they don't meet in a task.
+    one = left.join(_near(again), [id_, key], "left_semi").groupBy(id_, key).agg(F.max_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(full)).select(f"{full}.*")
+    return left.join(_near(again), [id_, key], "left_anti").select(*columns).unionByName(one)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of four words, links from 85 per cent; cases as in ``jaccard_classes``."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)

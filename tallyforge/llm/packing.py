@@ -9,6 +9,7 @@ Pieces then find their places by their rank among those of their length.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -17,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import flat, id_array, ints, mapped, slices, stored
-from tallyforge.llm.words import word_cache
+from tallyforge.llm.shared import flat, fresh, id_array, ints, mapped, slices, stored
+from tallyforge.llm.words import BLOCK, word_cache
 
 CAPACITY, GROUPS, LARGE = 4096, 24, 8
-RANK_ROWS = 2048  # rows in a group that is ranked by one task, on average at most
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -31,7 +31,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BLOCK):
             ids, off = cache.texts(*flat(b.column(1)))
             ids, end = ids.astype("<u4"), np.array([end_id], "<u4").tobytes()
             doc, piece, start, length, sums, raw = [], [], [], [], [], []
@@ -193,36 +193,39 @@ def places(packed: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, n
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, length_col: str = "length") -> DataFrame:
-    """Adds sequence_id and offset to a stored table of pieces; repeated rows each get their own place.
+    """Adds sequence_id and offset to a table of pieces; repeated rows each get their own place.
 
     Lengths must be 1 to ``capacity``. Which piece of a length gets which place is arbitrary. A piece's rank is its
     number in a salted group of its length plus the sizes of the groups before, so no length is ranked by one task.
     """
-    counts = {int(k): int(n) for k, n in pieces.groupBy(length_col).count().collect()}  # at most ``capacity`` rows
+    row, salt, own_n, ahead, rank = (fresh(c, *pieces.columns) for c in ("row", "salt", "own_n", "ahead", "rank"))
+    # The number of a row is written with it, so whoever reads it again, after whatever loss, sees the same one.
+    numbered = stored(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    counts = {int(k): int(n) for k, n in numbered.groupBy(length_col).count().collect()}  # at most ``capacity`` rows
     where = places(plan(counts, capacity, groups))
-    salts = max(1, -(-sum(counts.values()) // RANK_ROWS))
-    numbered = pieces.withColumn("_row", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
-    own = numbered.groupBy(length_col, "_salt").agg(F.count("*").alias("_n"))
-    before = own.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = numbered.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy("_row")) - 1)
-    ranked = ranked.join(before, [length_col, "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    ranked = ranked.select(*pieces.columns, "_rank")
+    salts = math.isqrt(sum(counts.values())) + 1  # as many salts of a length as rows of a salt
+    numbered = numbered.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)))
+    own = numbered.groupBy(length_col, salt).agg(F.count("*").alias(own_n))
+    earlier = Window.partitionBy(length_col).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    before = own.withColumn(ahead, F.coalesce(F.sum(own_n).over(earlier), F.lit(0))).drop(own_n)
+    ranked = numbered.withColumn(rank, F.row_number().over(Window.partitionBy(length_col, salt).orderBy(row)) - 1)
+    ranked = ranked.join(before, [length_col, salt]).withColumn(rank, F.col(rank) + F.col(ahead))
+    ranked = ranked.select(*pieces.columns, rank)
     held = where
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            length, rank = ints(b.column(length_col))[0], ints(b.column("_rank"))[0]
+            length, number = ints(b.column(length_col))[0], ints(b.column(rank))[0]
             sequence, offset = np.empty_like(length), np.empty_like(length)
             order = np.argsort(length, kind="stable")
             cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(length[order]) != 0]), len(order)]
             for i, j in zip(cuts[:-1], cuts[1:]):
                 at = order[i:j]
                 ranks, firsts, offs = held[int(length[at[0]])]
-                k = np.searchsorted(ranks, rank[at], "right") - 1
-                sequence[at], offset[at] = firsts[k] + rank[at] - ranks[k], offs[k]
+                k = np.searchsorted(ranks, number[at], "right") - 1
+                sequence[at], offset[at] = firsts[k] + number[at] - ranks[k], offs[k]
             cols = [*b.columns[:-1], pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "sequence_id", "offset"])
 
@@ -232,9 +235,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUP
 
 def best_fit_pack(docs: DataFrame, **options) -> DataFrame:
     """Tokenizes, cuts and packs documents. Empty texts are one end id; an empty table gives no rows."""
-    return pack_pieces(stored(cut_pieces(docs, **options), "pieces"), options.get("capacity", CAPACITY))
+    return pack_pieces(cut_pieces(docs, **options), options.get("capacity", CAPACITY))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 ids."""
+    """All documents in sequences of at most 4096 ids. Repeated rows and ids are documents of their own; null texts are empty."""
     return best_fit_pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

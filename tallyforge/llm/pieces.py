@@ -2,14 +2,14 @@
 
 Each distinct part of a batch (a run of blanks and what follows up to the next blank; no piece reaches over its start) is
 a segment of one flat symbol array. A round finds every segment's best pair (least rank, leftmost), merges all of them at
-once, compacts the array and looks up only the pairs beside a merge; finished segments leave the array. The library is
+once, compacts the array and looks up only the pairs beside a merge; finished segments leave the array. In long segments
+a round merges wherever a pair is the best within a reach that no merge can cross in time. The library is
 used to read the model and to decode byte sequences that aren't UTF-8.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import flat, id_array, ints, mapped, ragged, slices, tokenizer_path
-from tallyforge.llm.words import PartCache
+from tallyforge.llm.shared import flat, id_array, ints, mapped, ragged, sliding_least, slices, tokenizer_path
+from tallyforge.llm.words import BLOCK, PartCache
 
 BLANK = np.array([32], np.uint8)
-LONG = 400  # symbols from which a segment is merged with a heap, one merge at a time
-NONE = np.int32(1 << 30)
+LONG = 200  # symbols from which a segment has many merges a round
+NONE, GAP = np.int32(1 << 30), np.int32(-(1 << 30))
 
 
 class PieceModel:
@@ -45,6 +45,7 @@ class PieceModel:
             raise ValueError("a piece has a blank behind another character")
         self.size = len(m.pieces)
         chars = {c for p in pieces for c in p}
+        self.longest = max(map(len, pieces))
         extra = sorted(c for c in chars if c not in pieces)  # they can merge, but are no pieces themselves
         number = pieces | {c: self.size + i for i, c in enumerate(extra)}
         self.extra = np.array([ord(c) for c in extra], np.int64)
@@ -116,38 +117,68 @@ class PieceModel:
         order = np.argsort(seg, kind="stable")
         return sym[order], seg[order]
 
-    def merge_long(self, sym: np.ndarray) -> np.ndarray:
-        """The same for one long segment, with a heap."""
-        sym = sym.tolist()
-        n = len(sym)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        rank, made = (x.tolist() for x in self.pairs(np.array(sym[:-1], np.int32), np.array(sym[1:], np.int32)))
-        heap = [(r, i, sym[i], sym[i + 1], m) for i, (r, m) in enumerate(zip(rank, made)) if r < NONE]
-        heapq.heapify(heap)
-        table = {}
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j], after[i] = m, -2, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x in (before[i], i):
-                y = after[x] if x >= 0 else -1
-                if y >= 0:
-                    pair = sym[x], sym[y]
-                    if pair not in table:
-                        r, k = self.pairs(np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))
-                        table[pair] = int(r[0]), int(k[0])
-                    r, k = table[pair]
-                    if r < NONE:
-                        heapq.heappush(heap, (r, x, *pair, k))
-        out, i = [], 0
-        while i >= 0:
-            out.append(i)
-            i = after[i]
-        return np.array(out)
+    def merge_long(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long segments, whose rounds merge at many places at once.
+
+        A pair merges if it is the least (rank, then place) of all pairs within ``reach`` of it. What happens beyond
+        can't matter to it in time: only the neighbours of a merged symbol get new pairs, so a change travels as one
+        growing symbol, and no symbol has more characters than the longest piece.
+        """
+        if not len(sym):
+            return sym, seg
+        reach = 2 * self.longest + 2
+        first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+        apart = np.repeat(first, reach + 1)  # cells without a pair keep segments from each other
+        sym, seg = np.insert(sym, apart, GAP), np.insert(seg, apart, -1)
+        rank, made = np.full(len(sym), NONE), np.full(len(sym), -1, np.int32)
+        rank[:-1], made[:-1] = self.pairs(sym[:-1], sym[1:])
+        while True:
+            at = self._ready(sym, rank, made, reach)
+            if not len(at):
+                break
+            sym[at] = made[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            sym, seg, rank, made = (x[keep] for x in (sym, seg, rank, made))
+            rank[moved] = NONE
+            look = np.unique(np.concatenate([moved, moved - 1]))
+            look = look[(look >= 0) & (look + 1 < len(sym))]
+            rank[look], made[look] = self.pairs(sym[look], sym[look + 1])
+        own = seg >= 0
+        return sym[own], seg[own]
+
+    def _ready(self, sym: np.ndarray, rank: np.ndarray, made: np.ndarray, reach: int) -> np.ndarray:
+        """Places of the pairs that can merge now, none beside another.
+
+        Of pairs of one rank the left one is first. The others may go along (in a run of pairs every second one from its
+        start) unless one near them must wait, or makes a pair that is as good as theirs, which would come before them.
+        """
+        around = lambda x, none: sliding_least(np.concatenate([np.full(reach, none), x, np.full(reach, none)]), 2 * reach + 1)
+        live = np.flatnonzero((rank < NONE) & (rank == around(rank, NONE)))
+        if not len(live):
+            return live
+        run = np.flatnonzero(np.r_[True, np.diff(live) != 1])
+        size = np.diff(np.r_[run, len(live)])
+        second = (np.arange(len(live)) - np.repeat(run, size)) % 2 == 1
+        before = live[run] - 1
+        headless = np.repeat((before >= 0) & (rank[np.maximum(before, 0)] == rank[live[run]]), size)
+        at = live[~second]
+        left = np.where(at > 0, sym[np.maximum(at - 1, 0)], GAP)
+        beside = np.flatnonzero(np.diff(at) == 2) + 1
+        left[beside] = made[at[beside - 1]]
+        right = sym[np.minimum(at + 2, len(sym) - 1)]
+        better = np.minimum(self.pairs(left, made[at])[0], self.pairs(made[at], right)[0]) <= rank[at]
+        waiting = rank.copy()
+        waiting[live] = NONE
+        wait = headless[~second] | (around(waiting, NONE)[at] <= rank[at])
+        if not (better | wait).any():
+            return at
+        place = np.where(rank < NONE, rank.astype(np.int64) << 32 | np.arange(len(rank)), np.int64(1 << 62))
+        first = place[at] == around(place, np.int64(1 << 62))[at]
+        calm = np.ones(len(sym), np.int8)
+        calm[at[better]] = 0
+        return at[first | (around(calm, np.int8(1))[at] == 1) & ~wait]
 
     def encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, off = flat(parts)
@@ -160,17 +191,10 @@ class PieceModel:
         seg = np.repeat(np.arange(len(lens)), lens)
         sym = self.by_char[chars]
         sym = np.where(sym < 0, (-1 - chars), sym).astype(np.int32)
-        long = np.flatnonzero(lens > LONG)
-        short = np.isin(seg, long, invert=True) if len(long) else slice(None)
-        out, own = self.merge(sym[short].copy(), seg[short].copy())
-        for s in long:
-            part = sym[starts[s] : starts[s + 1]].copy()
-            at = self.merge_long(part)
-            got = self._final(part, at)
-            out, own = np.concatenate([out, got]), np.concatenate([own, np.full(len(got), s)])
-        if len(long):
-            order = np.argsort(own, kind="stable")
-            out, own = out[order], own[order]
+        long = (lens > LONG)[seg]
+        out, own = (np.concatenate(x) for x in zip(self.merge(sym[~long], seg[~long]), self.merge_long(sym[long], seg[long])))
+        order = np.argsort(own, kind="stable")
+        out, own = out[order], own[order]
         # Characters that are no pieces turn into their bytes.
         strange = np.flatnonzero((out < 0) | (out >= self.size))
         if len(strange):
@@ -184,20 +208,6 @@ class PieceModel:
             out, own = full, np.repeat(own, count)
         return out, np.searchsorted(own, np.arange(len(lens) + 1))
 
-    def _final(self, part: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Symbols of a long segment at the places that are left, merged anew by what they cover."""
-        ends = np.r_[at[1:], len(part)]
-        out = []
-        for i, j in zip(at, ends):
-            out.append(int(part[i]) if j == i + 1 else self._covered(part[i:j]))
-        return np.array(out, np.int32)
-
-    def _covered(self, symbols: np.ndarray) -> int:
-        if not hasattr(self, "_names"):
-            self._names = {self.library.id_to_piece(i): i for i in range(self.size) if self.kinds[i] == 1}
-            self._texts = {i: c for c, i in self._names.items() if len(c) == 1} | {self.size + i: chr(c) for i, c in enumerate(self.extra)}
-        return self._names["".join(self._texts[int(s)] for s in symbols)]
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids with begin and end of each text (null: empty), and n + 1 offsets."""
         buf, off = flat(texts)
@@ -255,7 +265,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BLOCK):
             ids, off = m.encode(b.column(1))
             said = m.decode(ids, off)
             raw = [ids[i:j].astype("<u4").tobytes() for i, j in zip(off[:-1], off[1:])]
@@ -269,4 +279,5 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every row's ids and decoded text; cases as in ``encode_pieces``."""
     return encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Rolling, flat, id_array, ints, mapped, slices
+from tallyforge.llm.shared import flat, hash_ranges, id_array, ints, mapped, slices
 from tallyforge.llm.shingles import word_spans
 
 SAMPLE, DIMS, NEIGHBOURS, SHARPNESS = 1500, 48, 21, 8
@@ -43,7 +43,7 @@ EXTRA, EXTRA_WEIGHT = 6, 2.5
 def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Logarithms of pair counts, then shares: repeated words, capitals, digits, marks, bars and line ends."""
     words, ends, at = word_spans(buf, off)
-    code = Rolling(buf).at(words, ends - words)
+    code = hash_ranges(buf, words, ends - words)
     again = np.zeros(len(code))
     again[1:] = code[1:] == code[:-1]
     again[at[:-1][at[:-1] < at[1:]]] = 0

@@ -4,18 +4,20 @@ Ordering all suffixes down to ``length`` bytes would move each byte's suffix. In
 each window of ``length`` bytes has one, the first of its 32-byte strings with the least hash. Equal windows have it at the
 same place, so windows are only compared among those whose anchors have the same string.
 
-1. Anchors with a hash of all that their windows cover are grouped by their string. Whoever has the same surroundings as
-   an earlier anchor is covered whole; one of each kind of surroundings is left where there are several.
-2. The windows of those are sorted by most-significant-digit passes of ``DIGIT`` bytes down to ``length`` bytes; windows
-   alone in their group leave after each pass. The equal groups left at the end are exactly the repeated windows, and all
-   but the first of each are covered.
-3. Covered bytes are removed from their documents.
+1. Anchors are grouped by a hash of their string; only where it occurs again their windows' bytes are dealt out.
+2. Most-significant-digit passes of ``DIGIT`` bytes order the anchors by all that their windows cover. Whoever has the
+   same bytes as an earlier one is covered whole.
+3. The windows of the others are ordered by the same passes down to ``length`` bytes; windows alone leave after each pass.
+   The equal groups left at the end are exactly the repeated windows, and all but the first of each are covered.
+4. Covered bytes are removed from their documents.
+
+Hashes only choose and bring together; bytes alone decide what is equal.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +25,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import BLOB, Rolling, blob_rows, bucket_groups, buckets, by_bucket, flat, ints, joined, mapped, mix, scatter, slices, stored
+from tallyforge.llm.shared import BLOB, KEEP, blob_rows, bucket_groups, buckets, by_bucket, flat, ints, joined, mapped, mix, ragged, scatter, sliding_least, slices, stored, text_hashes, window_hashes, words_at
 
-LENGTH, GRAM, DIGIT = 100, 32, 50
+LENGTH, GRAM, DIGIT = 100, 32, 8
 CHUNK = 8_000  # anchors whose windows are sorted at a time
 SLICE = 1 << 20  # bytes of text looked at at a time
-DEALT = 32 << 20  # bytes of text that are dealt out at a time
+DEALT = 16 << 20  # bytes of text that are dealt out at a time
 HELD = 200_000  # anchors in a batch of blobs
 SHOWN_HELD = 200_000  # anchors with their surroundings in a batch of blobs
 PLACE = (1 << 24) - 1  # bits that tell the place in a part beside the hash
-PART = 1 << 23  # windows of a part
+PART = 1 << 20  # windows of a part
 _U = np.uint64
 DOCS, COVERED, ASKED, SHOWN = 0, 1, 2, 3
 
 
-def _least(h: np.ndarray, w: int) -> np.ndarray:
-    """Least of each run of w values: prefixes and suffixes of blocks of w."""
-    n = len(h) - w + 1
-    rows = -(-len(h) // w) + 1
-    x = np.full(rows * w, ~_U(0), _U)
-    x[: len(h)] = h
-    x = x.reshape(rows, w)
-    ahead = np.minimum.accumulate(x, axis=1).reshape(-1)
-    back = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-
-
 def anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(place, document, string hash, bytes of its windows to the left, to the right, hash of all of them).
+    """(place, document, string hash, bytes of its windows to the left, to the right).
 
     A window's anchor is the first of its strings with the least hash; an anchor's windows follow each other.
     """
@@ -60,31 +50,27 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     np.subtract.at(inside, off[whole + 1] - length + 1, 1)
     inside = np.cumsum(inside) > 0
     parts = [_part(buf[i : i + PART + length - 1], inside[i : i + PART], length, i) for i in range(0, max(len(buf) - length + 1, 1), PART)]
-    at, gram, left, right, around = (np.concatenate(x) for x in zip(*parts))
-    return at, np.searchsorted(off, at, "right") - 1, gram, left, right, around
+    at, gram, left, right = (np.concatenate(x) for x in zip(*parts))
+    return at, np.searchsorted(off, at, "right") - 1, gram, left, right
 
 
 def _part(buf: np.ndarray, inside: np.ndarray, length: int, begin: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return none, none.astype(_U), none, none, none.astype(_U)
-    roll = Rolling(buf)
-    h = roll.all(GRAM)
-    low = _least((h & ~_U(PLACE)) | np.arange(len(h), dtype=_U), length - GRAM + 1)
+        return none, none.astype(_U), none, none
+    h = window_hashes(buf, GRAM)
+    low = sliding_least((h & ~_U(PLACE)) | np.arange(len(h), dtype=_U), length - GRAM + 1)
     start = np.flatnonzero(inside[: len(low)])
     place = (low[start] & _U(PLACE)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else none
     at, first, last = place[new], start[new], start[np.r_[new[1:], len(place)] - 1] if len(new) else none
-    left, right = at - first, last + length - at - GRAM
-    around = mix(roll.at(first, left + GRAM + right) + left.astype(_U))
-    return at + begin, h[at], left, right, around
+    return at + begin, h[at], at - first, last + length - at - GRAM
 
 
 def _key(batch: pa.RecordBatch, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets, ids and a 32-bit hash of each text, which tells rows of one id apart."""
+    """Bytes, offsets, ids and a hash of each text, which tells rows of one id apart."""
     buf, off = flat(batch.column(text_col))
-    roll = Rolling(buf)
-    return buf, off, ints(batch.column(id_col))[0], (roll.at(off[:-1], np.diff(off)) >> _U(32)).astype(np.uint32)
+    return buf, off, ints(batch.column(id_col))[0], text_hashes(buf, off)
 
 
 def _bucket(ids: np.ndarray, n: int) -> np.ndarray:
@@ -104,8 +90,8 @@ def _find(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
         held: list[tuple[np.ndarray, ...]] = []
         for b in slices(batches, text_col, SLICE):
             buf, off, ids, tie = _key(b, id_col, text_col)
-            at, doc, gram, left, right, around = anchors(buf, off, length)
-            held.append((gram, around, ids[doc], tie[doc], (at - off[doc]).astype(np.uint32), left.astype(np.uint16), right.astype(np.uint16)))
+            at, doc, gram, left, right = anchors(buf, off, length)
+            held.append((gram, ids[doc], tie[doc], (at - off[doc]).astype(np.uint32), left.astype(np.uint16), right.astype(np.uint16)))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield _spread(held, n_buckets)
                 held = []
@@ -116,32 +102,19 @@ def _find(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame
 
 
 def _group(found: DataFrame) -> DataFrame:
-    """Covered stretches, and anchors whose windows must be seen; both by document."""
+    """Anchors whose string occurs again, by document: their windows must be seen."""
     n_buckets = buckets(found.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in bucket_groups(batches):
-            gram, around, ids, tie, at, left, right = joined([p for _, p in rows])
+            gram, *rest = joined([p for _, p in rows])
             order = np.argsort(gram, kind="stable")
             same = gram[order][1:] == gram[order][:-1]
             order = order[np.r_[False, same] | np.r_[same, False]]
-            order = order[np.lexsort((at[order], tie[order], ids[order], around[order], gram[order]))]
-            if not len(order):
-                continue
-            gram, around, ids, tie, at, left, right = (x[order] for x in (gram, around, ids, tie, at, left, right))
-            new = np.r_[True, gram[1:] != gram[:-1]]
-            kind = np.r_[True, (around[1:] != around[:-1]) | new[1:]]
-            again = np.flatnonzero(~kind)
-            if len(again):
-                order = again[np.lexsort((at[again], ids[again]))]
-                start, end = at[order] - left[order], at[order] + GRAM + right[order]
-                yield scatter(_bucket(ids[order], n_buckets), ids[order], tie[order], start.astype(np.uint32), end.astype(np.uint32), kind=COVERED)
-            number = np.cumsum(new) - 1
-            kinds = np.bincount(number[kind])
-            ask = np.flatnonzero(kind & (kinds[number] > 1))
-            if len(ask):
-                order = ask[np.lexsort((at[ask], ids[ask]))]
-                yield scatter(_bucket(ids[order], n_buckets), ids[order], tie[order], at[order], gram[order], left[order], right[order], kind=ASKED)
+            if len(order):
+                gram, (ids, tie, at, left, right) = gram[order], (x[order] for x in rest)
+                order = np.lexsort((at, ids))
+                yield scatter(_bucket(ids[order], n_buckets), *(x[order] for x in (ids, tie, at, gram, left, right)), kind=ASKED)
 
     return mapped(by_bucket(found), run, BLOB)
 
@@ -183,16 +156,17 @@ def _rows(rows: list[tuple[int, bytes]], text_col: str) -> Iterator[pa.RecordBat
     return _together((b for k, p in rows if k == DOCS for b in pa.ipc.open_stream(p)), text_col, SLICE)
 
 
-def _names(ids: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    return mix(ids.view(_U) + (tie.astype(_U) << _U(32)))
-
-
-def _lookup(own: np.ndarray, want: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(wanted, row) numbers of all matches of names; ``want`` is sorted, ``order`` has the numbers it had before."""
-    lo, hi = np.searchsorted(want, own, "left"), np.searchsorted(want, own, "right")
+def _lookup(ids: np.ndarray, tie: np.ndarray, want_ids: np.ndarray, want_tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(wanted, row) numbers of all matches by id and tie."""
+    name = lambda i, t: mix(i.view(_U)) + t
+    with np.errstate(over="ignore"):
+        own, want = name(ids, tie), name(want_ids, want_tie)
+    order = np.argsort(want, kind="stable")
+    lo, hi = np.searchsorted(want, own, "left", order), np.searchsorted(want, own, "right", order)
     row = np.repeat(np.arange(len(own)), hi - lo)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-    return order[at], row
+    which = order[ragged(lo, hi - lo)]
+    real = (ids[row] == want_ids[which]) & (tie[row] == want_tie[which])
+    return which[real], row[real]
 
 
 def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -207,13 +181,10 @@ def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length
             if not wanted:
                 continue
             want_ids, want_tie, at, gram, left_of, right_of = joined(wanted)
-            want = _names(want_ids, want_tie)
-            order = np.argsort(want, kind="stable")
-            want = want[order]
             held, n = [], 0
             for b in _rows(rows, text_col):
                 buf, off, ids, tie = _key(b, id_col, text_col)
-                which, row = _lookup(_names(ids, tie), want, order)
+                which, row = _lookup(ids, tie, want_ids, want_tie)
                 if not len(which):
                     continue
                 place = off[row] + at[which]
@@ -234,30 +205,68 @@ def _show(asked: DataFrame, dealt: DataFrame, id_col: str, text_col: str, length
     return mapped(by_bucket(asked.unionAll(dealt), "kind"), run, BLOB)
 
 
+def ordered(rows: np.ndarray, group: np.ndarray, digit: Callable[[np.ndarray, int], np.ndarray], passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most-significant-digit passes: rows in the order of their digits within their group, and numbers of equal classes.
+
+    After each pass rows that are alone leave. Groups must be sorted; equal rows stay in the order in which they came.
+    """
+    for d in range(passes):
+        if not len(rows):
+            break
+        key = digit(rows, d)
+        new = np.r_[True, group[1:] != group[:-1]]
+        odd = ~new & np.r_[False, key[1:] != key[:-1]]
+        number = np.cumsum(new) - 1
+        mixed = np.zeros(int(number[-1]) + 1, bool)
+        mixed[number[odd]] = True
+        at = np.flatnonzero(mixed[number])  # groups with different digits are sorted, in their places
+        order = at[np.lexsort((key[at], number[at]))]
+        rows[at], key[at] = rows[order], key[order]
+        new |= np.r_[False, key[1:] != key[:-1]]
+        number = np.cumsum(new) - 1
+        keep = (np.bincount(number) > 1)[number]
+        rows, group = rows[keep], number[keep]
+    return rows, group
+
+
+def repeated_whole(seen: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Anchors with the surroundings of an earlier one of their group."""
+    width = seen.shape[1]
+    view = words_at(seen.reshape(-1))
+
+    def digit(rows: np.ndarray, d: int) -> np.ndarray:
+        if not d:
+            return (left[rows].astype(_U) << _U(32)) | right[rows].astype(_U)
+        return (view[rows * width + (d - 1) * DIGIT] & KEEP[min(DIGIT, width - (d - 1) * DIGIT)]).byteswap()
+
+    rows, number = ordered(np.arange(len(seen)), group, digit, 1 + -(-width // DIGIT))
+    return rows[np.r_[False, number[1:] == number[:-1]]] if len(rows) else rows
+
+
 def equal_windows(seen: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, shift) of all windows that aren't the first of theirs. Anchors of one group come in order of place.
 
-    Windows start at ``shift`` bytes of the surroundings. Digit after digit they are grouped anew.
+    Windows start at ``shift`` bytes of the surroundings; those of one group and shift are ordered by all their bytes.
     """
     side, width = length - GRAM, seen.shape[1]
     count = np.maximum(right.astype(np.int64) - (side - left.astype(np.int64)) + 1, 0)
     own = np.repeat(np.arange(len(seen)), count)
     shift = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(side - left.astype(np.int64), count)
-    roll = Rolling(seen.reshape(-1))
-    cell = mix(group[own].astype(_U) * _U(width + 1) + shift.astype(_U))
-    for d in range(0, length, DIGIT):
-        digit = roll.at(own * width + shift + d, np.full(len(own), min(DIGIT, length - d)))
-        cell = mix(cell + digit)
-        order = np.argsort(cell, kind="stable")
-        same = cell[order][1:] == cell[order][:-1]
-        keep = np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(order) else order
-        own, shift, cell = own[keep], shift[keep], cell[keep]
-    order = np.argsort(cell, kind="stable")  # stable: the first of each group is the earliest
-    again = order[np.r_[False, cell[order][1:] == cell[order][:-1]]] if len(order) else order
+    cell = group[own] * (side + 1) + shift
+    order = np.argsort(cell, kind="stable")
+    own, shift, cell = own[order], shift[order], cell[order]
+    view = words_at(seen.reshape(-1))
+
+    def digit(rows: np.ndarray, d: int) -> np.ndarray:
+        return (view[own[rows] * width + shift[rows] + d * DIGIT] & KEEP[min(DIGIT, length - d * DIGIT)]).byteswap()
+
+    rows, number = ordered(np.arange(len(own)), cell, digit, -(-length // DIGIT))
+    again = rows[np.r_[False, number[1:] == number[:-1]]] if len(rows) else rows
     return own[again], shift[again]
 
 
 def _sort(shown: DataFrame, length: int) -> DataFrame:
+    """Covered stretches, by document."""
     n_buckets = buckets(shown.sparkSession)
     side = length - GRAM
 
@@ -265,29 +274,39 @@ def _sort(shown: DataFrame, length: int) -> DataFrame:
         for _, rows in bucket_groups(batches):
             gram, ids, tie, at, left, right, seen = joined([p for _, p in rows])
             order = np.lexsort((at, tie, ids, gram))
-            gram, ids, tie, at, left, right, seen = (x[order] for x in (gram, ids, tie, at, left, right, seen))
+            gram, ids, tie, at, left, right = (x[order] for x in (gram, ids, tie, at, left, right))
+            seen = seen[order]
+            found = []
+
+            def covered(o: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+                found.append((ids[o], tie[o], start.astype(np.uint32), end.astype(np.uint32)))
+
             group = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
+            whole = repeated_whole(seen, left, right, group)
+            covered(whole, at[whole].astype(np.int64) - left[whole], at[whole].astype(np.int64) + GRAM + right[whole])
+            rest = np.ones(len(gram), bool)
+            rest[whole] = False
+            rest &= (np.bincount(group[rest], minlength=int(group[-1]) + 1) > 1)[group]
+            kinds, group = np.flatnonzero(rest), group[rest]
             ends = np.r_[np.flatnonzero(np.diff(group)) + 1, len(group)]
-            found = []
             i = 0
             while i < len(group):  # whole groups at a time
                 j = int(ends[np.searchsorted(ends, min(i + CHUNK, len(group)))])
-                s = slice(i, j)
-                own, shift = equal_windows(seen[s], left[s], right[s], group[s], length)
+                s = kinds[i:j]
+                own, shift = equal_windows(seen[s], left[s], right[s], group[i:j], length)
                 i = j
                 if not len(own):
                     continue
                 order = np.lexsort((shift, own))
-                own, shift = own[order] + s.start, shift[order]
-                new = np.r_[True, (own[1:] != own[:-1]) | (shift[1:] != shift[:-1] + 1)]
-                first = np.flatnonzero(new)
+                own, shift = own[order], shift[order]
+                first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (shift[1:] != shift[:-1] + 1)])
                 last = np.r_[first[1:], len(own)] - 1
-                o = own[first]
-                start = at[o].astype(np.int64) - side + shift[first]
-                end = at[o].astype(np.int64) - side + shift[last] + length
-                found.append((ids[o], tie[o], start.astype(np.uint32), end.astype(np.uint32)))
-            if found:
-                cols = [np.concatenate(x) for x in zip(*found)]
+                o = s[own[first]]
+                covered(o, at[o].astype(np.int64) - side + shift[first], at[o].astype(np.int64) - side + shift[last] + length)
+            cols = [np.concatenate(x) for x in zip(*found)]
+            if len(cols[0]):
+                order = np.lexsort((cols[2], cols[0]))
+                cols = [x[order] for x in cols]
                 yield scatter(_bucket(cols[0], n_buckets), *cols, kind=COVERED)
 
     return mapped(by_bucket(shown), run, BLOB)
@@ -297,13 +316,10 @@ def _removed(dealt: DataFrame, covered: DataFrame, docs: DataFrame, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in bucket_groups(batches):
             known = [p for k, p in rows if k == COVERED]
-            cover = joined(known) if known else [np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
-            want = _names(cover[0], cover[1])
-            order = np.argsort(want, kind="stable")
-            want = want[order]
+            cover = joined(known) if known else [np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
             for b in _rows(rows, text_col):
                 buf, off, ids, tie = _key(b, id_col, text_col)
-                which, row = _lookup(_names(ids, tie), want, order)
+                which, row = _lookup(ids, tie, cover[0], cover[1])
                 edge = np.zeros(len(buf) + 1, np.int32)
                 np.add.at(edge, off[row] + cover[2][which], 1)
                 np.subtract.at(edge, off[row] + cover[3][which], 1)
@@ -337,14 +353,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     ``stats``, what was removed from each row instead. Null and empty texts stay. Rows with one id are ordered by a hash
     of their texts; rows that repeat both share one result, as one document. A null id is the least. Long texts are whole.
     """
-    if length < GRAM + 1:
-        raise ValueError(f"length must be over {GRAM}")
+    if not GRAM < length < 1 << 15:
+        raise ValueError(f"length must be over {GRAM} and under {1 << 15}")
     docs = docs.select(id_col, text_col) if stats else docs
-    spoken = stored(_group(_find(docs, id_col, text_col, length)), "stretches")
+    asked = stored(_group(_find(docs, id_col, text_col, length)), "asked")
     dealt = _deal(docs, id_col, text_col)
-    more = stored(_sort(_show(spoken.filter(F.col("kind") == ASKED), dealt.select("bucket", "kind", "payload"), id_col, text_col, length), length), "more-stretches")
-    return _removed(dealt, spoken.filter(F.col("kind") == COVERED).unionAll(more), docs, id_col, text_col, stats)
+    covered = stored(_sort(_show(asked, dealt if stats else _deal(docs.select(id_col, text_col), id_col, text_col), id_col, text_col, length), length), "covered")
+    return _removed(dealt, covered, docs, id_col, text_col, stats)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed from every row of documents; cases as in ``remove_repeats``."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), stats=True)

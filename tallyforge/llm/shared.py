@@ -19,12 +19,15 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 ASCII_SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint8)
 NULL_ID = -(1 << 63)
+BUCKETS = 4  # blob buckets for each shuffle partition
 
 _shipped: set[str] = set()
 
@@ -45,8 +48,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="tallyforge-")
         spark.sparkContext.setCheckpointDir(base)
@@ -65,14 +70,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Number of blob buckets: a few per shuffle partition, so that hashing buckets to tasks stays even."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Number of blob buckets: several for each shuffle partition, as a task holds one whole bucket at a time."""
+    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def by_bucket(df: DataFrame, *order: str) -> DataFrame:
     """Deals blobs out by bucket; a task sees whole buckets, one after the other."""
-    n = buckets(df.sparkSession)
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket", *order)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", *order)
 
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -234,55 +239,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i < n."""
-    out = np.ones(max(n, 1), _U)
-    out[1:] = _U(base)
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-BASE = 0x9E3779B97F4A7C15
-UNBASE = pow(BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def power_table(n: int, base: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        _POWERS[base] = powers(max(n, 1 << 16), base)
-    return _POWERS[base][:n]
-
-
-BYTE_CODE = mix(np.arange(1, 257, dtype=_U))
+#: Masks that leave the first n bytes of a little-endian word.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], _U)
+ODD = _U(0x9E3779B97F4A7C15)
+LONG_RANGE = 256
 
 
-class Rolling:
-    """Hashes of any windows of a byte array, from one running polynomial sum modulo 2 ** 64."""
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one little-endian number, zeros behind the end; a view, not a copy of each."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
-    def __init__(self, buf: np.ndarray):
-        with np.errstate(over="ignore"):
-            terms = BYTE_CODE[buf] * power_table(len(buf), BASE)
-            self.sums = np.concatenate([np.zeros(1, _U), np.add.accumulate(terms)])
-        self.un = power_table(len(buf) + 1, UNBASE)
 
-    def at(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[start + length] - self.sums[start]) * self.un[start] + _U(BASE) * np.asarray(length).astype(_U))
+def hash_ranges(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, eight bytes a round, each round through the finaliser; long ones by xxhash.
 
-    def all(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
+    No linear structure is left over which different ranges could meet other than by chance; up to eight bytes never do.
+    """
+    lens = np.broadcast_to(np.asarray(lens, np.int64), np.shape(starts))
+    h = mix(lens.astype(_U) + ODD)
+    view = words_at(buf)
+    live, done = np.flatnonzero((lens > 0) & (lens <= LONG_RANGE)), 0
+    while len(live):
+        left = lens[live] - done
         with np.errstate(over="ignore"):
-            return mix((self.sums[length:] - self.sums[:n]) * self.un[:n])
-
+            h[live] = mix(h[live] + (view[starts[live] + done] & KEEP[np.minimum(left, 8)]) * ODD)
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(lens > LONG_RANGE):
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : starts[i] + lens[i]])
+    return h
 
-def hash_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(buf).at(starts, ends - starts)
 
-
-def text_hash(texts: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], _U)
+def window_hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each window of ``width`` bytes, a power of two from 8: halves are put together."""
+    h, now = mix(words_at(buf)[: max(len(buf) - 7, 0)]), 8
+    with np.errstate(over="ignore"):
+        while now < width:
+            h, now = mix(h[: max(len(h) - now, 0)] * ODD + h[now:]), now * 2
+    return h
+
+
+def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
+    """Least of each run of w values: prefixes and suffixes of blocks of w."""
+    n = len(h) - w + 1
+    rows = -(-len(h) // w) + 1
+    x = np.full(rows * w, np.iinfo(h.dtype).max, h.dtype)
+    x[: len(h)] = h
+    x = x.reshape(rows, w)
+    ahead = np.minimum.accumulate(x, axis=1).reshape(-1)
+    back = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+
+
+def text_hashes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each whole text."""
+    raw = memoryview(np.ascontiguousarray(buf))
+    return np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(off[:-1].tolist(), off[1:].tolist())], _U)
+
+
+def fresh(name: str, *taken: str) -> str:
+    """A column name that none of ``taken`` has, whatever the case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def tokenizer_path(name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tallyforge.llm.shared import ASCII_SPACE, Rolling, mix
+from tallyforge.llm.shared import ASCII_SPACE, hash_ranges, mix
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -37,7 +37,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarr
     """
     buf = _LOWER[buf]
     starts, ends, at = word_spans(buf, off)
-    code = Rolling(buf).at(starts, ends - starts)
+    code = hash_ranges(buf, starts, ends - starts)
     n = np.diff(at)
     count = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
     own = np.repeat(np.arange(len(n)), count)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import flat, id_array, ints, mapped, pack, scratch, slices, unpack
+from tallyforge.llm.words import BLOCK as TEXTS
 from tallyforge.llm.words import byte_cache
 
 MAGIC, BITS, LANES, BLOCK = b"TFR1", 18, 64, 1 << 16
@@ -26,8 +27,8 @@ SEGMENT_IDS = 4 << 20
 LOW = np.uint64(1 << 31)
 _U = np.uint64
 
-SEGMENTS = "part int, segment int, n_tokens long, payload binary"
-_SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+SEGMENTS = "part int, before long, n_tokens long, payload binary"  # before: ids of the part's segments up to here
+_SEGMENTS = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +143,11 @@ def decode(body: bytes, only: np.ndarray | None = None) -> np.ndarray:
     return np.concatenate(done)
 
 
-def _segment(part: int, segment: int, docs: list[np.ndarray], lens: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+def _segment(part: int, before: int, docs: list[np.ndarray], lens: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     body = encode(np.concatenate(ids) if ids else np.zeros(0, np.uint32))
     head = pack(np.concatenate(docs), np.concatenate(lens))
     payload = len(head).to_bytes(8, "little") + head + body
-    return pa.record_batch([[part], [segment], [int(sum(x.sum() for x in lens))], pa.array([payload], pa.binary())], schema=_SEGMENTS)
+    return pa.record_batch([[part], [before], [int(sum(x.sum() for x in lens))], pa.array([payload], pa.binary())], schema=_SEGMENTS)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
@@ -161,10 +162,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, segment = byte_cache(tokenizer), TaskContext.get().partitionId(), 0
+        cache, part, before = byte_cache(tokenizer), TaskContext.get().partitionId(), 0
         held: tuple[list, list, list] = ([], [], [])
         size = 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXTS):
             ids, off = cache.texts(*flat(b.column(1)))
             lens = np.diff(off)
             ends = np.cumsum(lens + 1)
@@ -176,10 +177,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
                 x.append(y)
             size += len(full)
             if size >= segment_ids:
-                yield _segment(part, segment, *held)
-                held, size, segment = ([], [], []), 0, segment + 1
+                yield _segment(part, before, *held)
+                held, size, before = ([], [], []), 0, before + size
         if held[0]:
-            yield _segment(part, segment, *held)
+            yield _segment(part, before, *held)
 
     mapped(rows, run, SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
@@ -187,28 +188,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """Per document: doc_id, start (ids before it), n_tokens, ids_crc32, and the ids as a binary column on demand."""
     table = spark.read.schema(SEGMENTS).parquet(path)
-    # One number for each part that a task wrote, not for each document.
+    # One number for each part that a task wrote, not for each segment or document.
     totals = dict(table.groupBy("part").agg(F.sum("n_tokens")).collect())
-    before, sum_ = {}, 0
+    ahead, sum_ = {}, 0
     for part in sorted(totals):
-        before[part] = sum_
+        ahead[part] = sum_
         sum_ += totals[part]
-    own = table.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    inside = {(r.part, r.segment): r.b for r in own.select("part", "segment", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("b")).filter("b > 0").collect()}
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, segment, _, payload in zip(*(c.to_pylist() for c in b.columns)):
+            for part, before, _, payload in zip(*(c.to_pylist() for c in b.columns)):
                 head = int.from_bytes(payload[:8], "little")
                 docs, lens = unpack(payload[8 : 8 + head])
                 all_ids = decode(payload[8 + head :]).astype("<u4")
                 off = np.r_[0, np.cumsum(lens.astype(np.int64))]
                 sums = [zlib.crc32(all_ids[i:j]) for i, j in zip(off[:-1], off[1:])]
-                out = [id_array(docs), pa.array(off[:-1] + before[part] + inside.get((part, segment), 0)), pa.array(np.diff(off)), pa.array(sums, pa.int64())]
+                out = [id_array(docs), pa.array(off[:-1] + ahead[part] + before), pa.array(np.diff(off)), pa.array(sums, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if ids:
                     out.append(pa.array([all_ids[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary()))

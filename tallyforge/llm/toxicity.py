@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import Rolling, flat, id_array, ints, mapped, slices
+from tallyforge.llm.shared import flat, hash_ranges, mapped, ship, slices
 
 SAMPLE, GRADES, PENALTY, STEPS, THRESHOLD = 3000, 4, 0.004, 400, 1.0
 LEAST_TEXTS = 4
@@ -38,7 +38,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = cuts[:-1], cuts[1:]
     own = inside[starts] if len(starts) else np.zeros(0, bool)
     starts, ends = starts[own], ends[own]
-    h = Rolling(buf).at(starts, ends - starts)
+    h = hash_ranges(buf, starts, ends - starts)
     doc = np.searchsorted(off, starts, "right") - 1
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -105,38 +105,45 @@ def learn(h: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Severity:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Severity:
     """A model from at most ``sample`` labelled texts of each class, the least by a hash of their id.
 
-    Of repeated labels the largest counts; null ones don't. Without labels every text has the same severity.
+    Of repeated labels the largest counts, of rows that repeat an id one text; null ids, null labels and labels without a
+    row don't count. Without labels every text has the same severity.
     """
-    own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna()
-    own = own.groupBy("_id").agg(F.max("_label").alias("_label"))
-    own = own.filter("_label = 0").orderBy(F.xxhash64("_id"), "_id").limit(sample).unionAll(own.filter("_label = 1").orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "_id")
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
+    own = own.groupBy("id").agg(F.max("label").alias("label"))
+    own = own.filter("label = 0").orderBy(F.xxhash64("id"), "id").limit(sample).unionAll(own.filter("label = 1").orderBy(F.xxhash64("id"), "id").limit(sample))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             h, off = words(*flat(b.column(0)))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2).cast(pa.string()), pa.array([h[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], ["label", "id", "words"])
 
-    got = mapped(rows.select("text", "_label", "_id"), run, "label int, id string, words binary").toArrow().sort_by([("id", "ascending")])
+    one = mapped(rows.select("text", "label", "id"), run, "label int, id string, words binary").groupBy("label", "id").agg(F.max("words").alias("words"))
+    got = one.toArrow().sort_by([("id", "ascending")])
     parts = [np.frombuffer(x, _U) for x in got.column(2).to_pylist()]
     off = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
     return learn(np.concatenate(parts) if parts else np.zeros(0, _U), off, np.asarray(got.column(0).to_numpy(), float))
 
 
-def grade(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with _severity, the expected grade (0 to 3). Null and empty texts have that of no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def severity(spark: SparkSession, model: Severity, text: Column) -> Column:
+    """The expected grade (0 to 3) of a text column; null and empty texts have that of no words, very long ones are read whole.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.expected(*words(*flat(b.column(text_col)))))], [*b.schema.names, "_severity"])
+    A column expression: only the texts travel to Python, and no name can clash with those of other columns.
+    """
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [shared.value.expected(*words(*flat(b.column(0)))) for b in slices([batch], "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return mapped(docs, run, f"{fields}, _severity double")
+    return run(text.cast("string"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, severity and toxic (severity >= THRESHOLD) of every document."""
+    """doc_id, severity and toxic (severity >= THRESHOLD) of every row, whatever repeats; an empty table gives no rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    graded = grade(docs.select("doc_id", "text"), fit(docs, labels))
-    return graded.select("doc_id", F.col("_severity").alias("severity"), (F.col("_severity") >= THRESHOLD).alias("toxic"))
+    graded = docs.select("doc_id", severity(spark, fit(docs, labels), F.col("text")).alias("severity"))
+    return graded.withColumn("toxic", F.col("severity") >= THRESHOLD)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -11,14 +12,17 @@ import pyarrow.compute as pc
 
 from tallyforge.llm.shared import ASCII_SPACE, binary, ragged, tokenizer_path, word_cuts
 
-CACHE_PARTS = 1_500_000
+CACHE_PARTS, CACHE_BYTES = 1_000_000, 32 << 20
+BLOCK = 4 << 20  # bytes of text encoded at a time
 
 
 class PartCache:
     """Ids of text parts in compact arrays; it lives as long as the Python worker and stops growing at a bound."""
 
-    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_PARTS):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], whole: list[str] | None = None, limit: int = CACHE_PARTS):
+        """whole: strings that are taken out of a text before all else, each a part of its own."""
         self.encode, self.limit = encode, limit
+        self.whole = re.compile(b"|".join(re.escape(x.encode()) for x in whole)) if whole else None
         self.parts = pa.array([], pa.binary())
         self.ids, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -32,13 +36,13 @@ class PartCache:
         ids = np.concatenate([self.ids, got])
         both = np.concatenate([self.off, self.off[-1] + off[1:]])
         at[new] = len(self.parts) + np.arange(len(fresh))
-        if len(self.parts) + len(fresh) <= self.limit:
+        if len(self.parts) + len(fresh) <= self.limit and self.parts.nbytes + fresh.nbytes <= CACHE_BYTES:
             self.parts, self.ids, self.off = pa.concat_arrays([self.parts, fresh]), ids, both
         return ids, both[at], both[at + 1] - both[at]
 
     def texts(self, buf: np.ndarray, off: np.ndarray, space: np.ndarray = ASCII_SPACE, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in ``buf``, and n + 1 offsets."""
-        starts = word_cuts(buf, off, space, marks)
+        starts = self._apart(buf, off, word_cuts(buf, off, space, marks))
         coded = binary(buf, np.r_[starts, len(buf)]).dictionary_encode()
         ids, at, n = self.codes(coded.dictionary)
         code = coded.indices.to_numpy(zero_copy_only=False)
@@ -47,18 +51,32 @@ class PartCache:
         return ids[ragged(at[code], lens)], ends[np.searchsorted(starts, off)]
 
 
+    def _apart(self, buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The starts of parts with those strings apart."""
+        found = np.array([m.span() for m in self.whole.finditer(np.ascontiguousarray(buf))] if self.whole else [], np.int64).reshape(-1, 2)
+        found = found[np.searchsorted(off, found[:, 0], "right") == np.searchsorted(off, found[:, 1] - 1, "right")]
+        if not len(found):
+            return starts
+        before = np.searchsorted(found[:, 0], starts, "left") - 1  # the last one that starts before a cut
+        inside = (before >= 0) & (starts < found[np.maximum(before, 0), 1])
+        more = np.concatenate([found[:, 0], found[:, 1]])
+        return np.unique(np.concatenate([starts[~inside], more[more < len(buf)]]))
+
+
 _caches: dict[str, PartCache] = {}
 
 
 def library_cache(name: str, blanks: bool) -> PartCache:
-    """The worker's cache over one tokenizer file. blanks: a blank before a word counts, or else words are lower-cased."""
+    """The worker's cache over one tokenizer file, with the settings that the library opens it with.
+
+    blanks: a blank before a word counts, or else words are lower-cased. Strings of added tokens in a text are those tokens.
+    """
     if name not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer_path(name))
-        t.encode_special_tokens = True
-        _caches[name] = PartCache(lambda parts: _encode(t, parts, blanks))
+        _caches[name] = PartCache(lambda parts: _encode(t, parts, blanks), [x.content for x in t.get_added_tokens_decoder().values()])
     return _caches[name]
 
 
