@@ -22,7 +22,7 @@ def _with_lengths(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose expected severity reaches the threshold; the model is fitted on the labelled ones here."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(docs, model).filter(F.col("_severity") < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.filter(toxicity.severity(spark, model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
