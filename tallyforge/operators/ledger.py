@@ -95,7 +95,7 @@ def trial_balance(d: Dialect) -> str:
 
 
 def column_audit(d: Dialect) -> str:
-    """Accounts with a negative column; there should be none, so the counts are reported."""
+    """accounts with a negative column; there should be none, so the counts are reported."""
     return _with_effects(d, f"SELECT count(*) AS accounts, count(CASE WHEN debits_posted < 0 OR credits_posted < 0 OR debits_pending < 0 OR credits_pending < 0 THEN 1 END) AS negative FROM (SELECT account_id, {_columns()} FROM legs GROUP BY account_id) b")
 
 
@@ -157,14 +157,6 @@ def segment_live_counts(d: Dialect) -> str:
     return f"SELECT {d.day('held_at')} % {SEGMENTS} AS segment, count(*) AS live FROM ({_hold_fold(d)}) h WHERE remaining > 0 AND status <> 'F' GROUP BY 1"
 
 
-def replay_equals_live(d: Dialect) -> str:
-    """Balances from single effects against balances from per-account sums of the log's sides; no difference is left."""
-    one = f"SELECT account_id, {_columns()} FROM legs GROUP BY account_id"
-    two = f"""SELECT account_id, CAST(sum(dp) AS BIGINT), CAST(sum(dn) AS BIGINT), CAST(sum(cp) AS BIGINT), CAST(sum(cn) AS BIGINT) FROM (
-      SELECT debit_account AS account_id, {POSTED} AS dp, {PENDING} AS dn, 0 AS cp, 0 AS cn FROM effects UNION ALL SELECT credit_account, 0, 0, {POSTED}, {PENDING} FROM effects) s GROUP BY account_id"""
-    return _with_effects(d, f"SELECT (SELECT count(*) FROM (({one}) EXCEPT ALL ({two})) a) AS only_live, (SELECT count(*) FROM (({two}) EXCEPT ALL ({one})) b) AS only_replayed, (SELECT count(DISTINCT account_id) FROM legs) AS accounts")
-
-
 # ---- requests ----
 
 
@@ -186,13 +178,13 @@ def validate_requests(d: Dialect) -> str:
     SELECT k.arrival, k.kind, k.debit_account AS lane, CASE WHEN kind = 'Hold' THEN pending_ref ELSE 0 END AS budget, CASE
       WHEN ledger_origin THEN 'ReservedTransactionId'
       WHEN kind IS NULL THEN 'InvalidFlags'
-      WHEN tx_id = 0 OR k.debit_account = 0 OR k.credit_account = 0 THEN 'AbsentId'
+      WHEN tx_id = 0 OR k.debit_account = 0 OR k.credit_account = 0 THEN 'InvalidFlags'
       WHEN k.debit_account = k.credit_account THEN 'SameAccount'
       WHEN kind NOT IN ('VoidClient', 'VoidExpiry') AND (amount <= 0 OR amount > {MAX_AMOUNT}) THEN 'InvalidAmount'
       WHEN kind = 'SinglePhase' AND pending_ref <> 0 THEN 'UnexpectedPendingRef'
       WHEN kind IN ('Settle', 'VoidClient', 'VoidExpiry') AND pending_ref = 0 THEN 'MissingPendingRef'
-      WHEN x.account_id IS NULL THEN 'UnknownDebitAccount'
-      WHEN y.account_id IS NULL THEN 'UnknownCreditAccount'
+      WHEN x.account_id IS NULL THEN 'UnknownAccount'
+      WHEN y.account_id IS NULL THEN 'UnknownAccount'
       WHEN x.ledger <> k.ledger OR y.ledger <> k.ledger THEN 'LedgerMismatch'
       ELSE 'Ok' END AS verdict
     FROM k LEFT JOIN a x ON x.account_id = k.debit_account LEFT JOIN a y ON y.account_id = k.credit_account"""
@@ -210,20 +202,21 @@ def dedup_verdicts(d: Dialect) -> str:
 
 
 def _chains(d: Dialect) -> str:
+    """Every sixth event of a user ends its batch. A linked one opens a chain unless the one before was linked in this batch."""
     linked = "event_type IN ('click', 'view')"
-    return f"""SELECT *, CASE WHEN {linked} OR coalesce(before, false) THEN sum(opens) OVER (PARTITION BY user_id ORDER BY event_id) ELSE 0 END AS chain FROM (
-      SELECT *, CASE WHEN {linked} AND NOT coalesce(before, false) THEN 1 ELSE 0 END AS opens FROM (
-        SELECT event_id, user_id, event_type, {linked} AS linked, event_type = 'signup' AS ends,
-               lag({linked} AND event_type <> 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) b) o"""
+    return f"""SELECT *, CASE WHEN linked OR goes_on THEN sum(opens) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS chain FROM (
+      SELECT *, CASE WHEN linked AND NOT goes_on THEN 1 ELSE 0 END AS opens FROM (
+        SELECT *, coalesce(lag(linked AND NOT ends) OVER (PARTITION BY user_id ORDER BY event_id), false) AS goes_on FROM (
+          SELECT event_id, user_id, {linked} AS linked, row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 6 = 0 AS ends FROM events) a) b) o"""
 
 
 def chain_ids(d: Dialect) -> str:
-    """Runs of linked requests up to and with the first that isn't, numbered per submission; 0 is no chain."""
+    """Runs of linked requests up to and with the first that isn't, or the end of the batch; numbered per submitter, 0 is no chain."""
     return f"SELECT event_id, user_id, CAST(chain AS BIGINT) AS chain FROM ({_chains(d)}) c"
 
 
 def chain_limits(d: Dialect) -> str:
-    """chains with too many linked legs, and those still open at their end."""
+    """chains with too many linked legs, and those that their batch's end or the end of all left open."""
     return f"""SELECT user_id, CAST(chain AS BIGINT) AS chain, CAST(sum(CASE WHEN linked THEN 1 ELSE 0 END) AS BIGINT) AS legs, sum(CASE WHEN linked THEN 1 ELSE 0 END) > {MAX_LEGS} AS too_long,
       sum(CASE WHEN linked THEN 0 ELSE 1 END) = 0 AS unterminated FROM ({_chains(d)}) c WHERE chain > 0 GROUP BY user_id, chain"""
 
@@ -298,11 +291,13 @@ def throughput(d: Dialect) -> str:
 
 def counters_since(d: Dialect) -> str:
     """Counters less those of the day before; a maximum isn't subtracted."""
-    return f"SELECT day, total - coalesce(lag(total) OVER (ORDER BY day), 0) AS since, most FROM (SELECT day, sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total, max(most) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS most FROM (SELECT {d.day('ts')} AS day, CAST(count(*) AS BIGINT) AS n, max({cents('value')}) AS most FROM events GROUP BY 1) e) t".replace("SELECT day, total -", "SELECT day, CAST(total -", 1).replace(", 0) AS since", ", 0) AS BIGINT) AS since", 1)
+    so_far = "OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    days = f"SELECT {d.day('ts')} AS day, count(*) AS n, max({cents('value')}) AS most FROM events GROUP BY 1"
+    return f"SELECT day, CAST(total - coalesce(lag(total) OVER (ORDER BY day), 0) AS BIGINT) AS since, most FROM (SELECT day, sum(n) {so_far} AS total, max(most) {so_far} AS most FROM ({days}) e) t"
 
 
 def repeats_median(d: Dialect) -> str:
-    """Of a user's values the upper median, the least and the largest."""
+    """Of a user's values the upper median, the least and the largest."""
     pick = "sort_array(collect_list(v))[CAST(count(*) div 2 AS INT)]" if d.spark else "list_sort(list(v))[count(*) // 2 + 1]"
     return f"SELECT user_id, {pick} AS middle, min(v) AS least, max(v) AS largest FROM (SELECT user_id, {cents('value')} AS v FROM events) e GROUP BY user_id"
 
@@ -313,7 +308,7 @@ def fifo_resolution(d: Dialect) -> str:
 
 
 def address_packing(d: Dialect) -> str:
-    """A record's place from segment (6 bits), block (35) and index (6), and back."""
+    """A record's place from segment (6 bits), block (35) and index (6), and back."""
     packed = f"({d.shift_left('segment', 41)} + {d.shift_left('block', 6)} + slot)"
     return f"""SELECT o_orderkey, packed, {d.land(d.shift_right('packed', 6), (1 << 35) - 1)} AS block, {d.land('packed', 63)} AS slot, {d.land(d.shift_right('packed', 6), (1 << 35) - 1)} * 4096 AS block_offset FROM (
       SELECT o_orderkey, {packed} AS packed FROM (SELECT o_orderkey, {d.day('o_orderdate')} % {SEGMENTS} AS segment, {d.div('o_orderkey', '60')} AS block, o_orderkey % 60 AS slot FROM orders) s) p"""
@@ -354,7 +349,7 @@ def curve_sanity(d: Dialect) -> str:
 
 QUERIES = {f.__name__: f for f in (
     judge_epoch_lanes, hold_remainders, balances_from_effects, trial_balance, column_audit, effect_columns, effects_by_kind, open_holds, budget_groups, chain_coverage, expiring_holds,
-    expiry_rounds, oldest_unfinished_day, compaction_survivors, segment_live_counts, replay_equals_live, validate_requests, reject_kinds, dedup_verdicts, chain_ids, chain_limits,
+    expiry_rounds, oldest_unfinished_day, compaction_survivors, segment_live_counts, validate_requests, reject_kinds, dedup_verdicts, chain_ids, chain_limits,
     lane_seq, seq_gaps, release_order, order_wait, server_queue, in_flight_peak, arrival_schedule, latency_summary, group_latency, throughput, counters_since, repeats_median,
     fifo_resolution, address_packing, bucket_staircase, residency_curve, mean_hold_life, curve_sanity,
 )}

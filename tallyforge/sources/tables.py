@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -40,9 +41,6 @@ class Dialect:
     def numbers(self, n: int) -> str:
         return f"SELECT id AS i FROM range({n})" if self.spark else f"SELECT range AS i FROM range({n})"
 
-    def bit_length(self, x: str) -> str:
-        return f"length(bin({x}))"
-
 
 SPARK, DUCKDB = Dialect("spark"), Dialect("duckdb")
 
@@ -52,6 +50,11 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def near(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """For a join: broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def cents(x: str) -> str:
     return f"CAST(round({x} * 100) AS BIGINT)"
 
