@@ -323,33 +323,9 @@ def bucket_staircase(d: Dialect) -> str:
     return f"SELECT i AS n, CASE WHEN i = 0 THEN 0 WHEN i < 4 THEN 4 WHEN i < 8 THEN 8 ELSE {_next_power(d, d.div('i * 8', '7'))} END AS buckets FROM ({d.numbers(2000)}) r"
 
 
-LIFETIMES = "(VALUES (0, 0.0), (1, 0.50), (4, 0.70), (24, 0.88), (168, 0.96)) AS t(hour, share)"
-
-
-def _lifetime(at: str) -> str:
-    """The share resolved by an hour, linear between the knots; a range join with a handful of rows."""
-    return f"SELECT h, lo_share + (h - lo) * (hi_share - lo_share) / (hi - lo) AS resolved FROM ({at}) p JOIN (SELECT hour AS lo, CAST(share AS DOUBLE) AS lo_share, lead(hour) OVER (ORDER BY hour) AS hi, CAST(lead(share) OVER (ORDER BY hour) AS DOUBLE) AS hi_share FROM {LIFETIMES}) k ON h > lo AND h <= hi"
-
-
-def residency_curve(d: Dialect) -> str:
-    """Share of resolutions that find their record in memory, if records stay for h hours."""
-    return f"SELECT CAST(h AS BIGINT) AS h, round(resolved, 6) AS hit, round((1 - resolved), 6) AS miss FROM ({_lifetime('SELECT * FROM (VALUES (1), (2), (4), (8), (24), (72), (168)) AS v(h)')}) c"
-
-
-def mean_hold_life(d: Dialect) -> str:
-    """The area above the lifetime curve to the retention, trapezoid by trapezoid, and what is left at its end."""
-    return f"""SELECT round(sum((hour - lo) * (1 - (share + lo_share) / 2)) + (31 * 24 - max(hour)) * (1 - max(share)), 6) AS hours FROM (
-      SELECT CAST(hour AS DOUBLE) AS hour, CAST(share AS DOUBLE) AS share, CAST(lag(hour) OVER (ORDER BY hour) AS DOUBLE) AS lo, CAST(lag(share) OVER (ORDER BY hour) AS DOUBLE) AS lo_share FROM {LIFETIMES}) k WHERE lo IS NOT NULL"""
-
-
-def curve_sanity(d: Dialect) -> str:
-    """F16: knots where a curve falls or leaves 0 to 1; none should."""
-    return f"SELECT count(CASE WHEN share < last THEN 1 END) AS falls, count(CASE WHEN share < 0 OR share > 1 THEN 1 END) AS outside, count(*) AS knots FROM (SELECT share, lag(share) OVER (ORDER BY hour) AS last FROM {LIFETIMES}) k"
-
-
 QUERIES = {f.__name__: f for f in (
     judge_epoch_lanes, hold_remainders, balances_from_effects, trial_balance, column_audit, effect_columns, effects_by_kind, open_holds, budget_groups, chain_coverage, expiring_holds,
     expiry_rounds, oldest_unfinished_day, compaction_survivors, segment_live_counts, validate_requests, reject_kinds, dedup_verdicts, chain_ids, chain_limits,
     lane_seq, seq_gaps, release_order, order_wait, server_queue, in_flight_peak, arrival_schedule, latency_summary, group_latency, throughput, counters_since, repeats_median,
-    fifo_resolution, address_packing, bucket_staircase, residency_curve, mean_hold_life, curve_sanity,
+    fifo_resolution, address_packing, bucket_staircase,
 )}
