@@ -32,6 +32,7 @@ BITS = 1024
 FREQUENT, ORDERED = 16, 1_000_000  # documents from which a shingle comes late in the order; at most so many do, the most frequent ones
 SLICE = 2 << 20  # bytes of text looked at at a time
 BROADCAST_IDS = 1_000_000  # rows of two or three numbers up to which a side is broadcast
+SHORT, PAIRS = 64, 1 << 17  # lists up to this length are taken together, about so many pairs at a time
 LIST_SETS = 1024  # about so many sets of a list on one side of a piece of work
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19  # about so many at most in a block of sets that are compared at once
 _U = np.uint64
@@ -213,21 +214,38 @@ def open_blocks(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray,
 class Side:
     """One side of a pair of list blocks: sets in the order (size, position), and where each (size, position) block begins."""
 
-    def __init__(self, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, maps: np.ndarray):
-        order = np.lexsort((sid, pos, n))
-        self.sid, self.n, self.pos, self.group, self.maps = (x[order] for x in (sid, n, pos, group, maps))
-        self.first = np.flatnonzero(np.r_[True, (self.n[1:] != self.n[:-1]) | (self.pos[1:] != self.pos[:-1])]) if len(sid) else np.zeros(0, int)
-        self.block = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(sid)]))
+    def __init__(self, row: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, maps: np.ndarray):
+        self.row = row[np.lexsort((pos[row], n[row]))]
+        self.n, self.pos, self.group, self.maps = (x[self.row] for x in (n, pos, group, maps))
+        self.first = np.flatnonzero(np.r_[True, (self.n[1:] != self.n[:-1]) | (self.pos[1:] != self.pos[:-1])]) if len(row) else np.zeros(0, int)
+        self.block = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(row)]))
+
+
+def short_pairs(starts: np.ndarray, size: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, maps: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(list, row, row, difference of bitmaps) for many short lists at once, each a run of rows; skipped like blocks of one set."""
+    out = [(np.zeros(0, int),) * 4]
+    step = np.cumsum(size * (size - 1) // 2) // PAIRS
+    for k in np.unique(step):
+        at, m = starts[step == k], size[step == k]
+        row = ragged(at, m)
+        more = np.repeat(at + m, m) - row - 1
+        left, right, piece = np.repeat(row, more), ragged(row + 1, more), np.repeat(np.repeat(at, m), more)
+        ok = (group[left] != group[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])) & _reaches(n[left], pos[left], n[right], pos[right], percent)
+        left, right, piece = left[ok], right[ok], piece[ok]
+        cost = np.bitwise_count(maps[left] ^ maps[right]).sum(1).astype(np.int64)
+        near = cost <= n[left] + n[right] - 2 * needed(n[left], n[right], percent)
+        out.append((piece[near], left[near], right[near], cost[near]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def list_pairs(a: Side, b: Side, percent: int, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, difference of bitmaps) of sets of different groups that the bitmaps leave.
+    """(number in a, number in b, difference of bitmaps) of sets of different groups that the bitmaps leave.
 
     Blocks are skipped by size and position before any bitmap is read. Of the sets of one group the first has its
     differences computed; another one y of them, at a distance d from it, can only reach what is at most d farther from
     the first than a link allows, so only for that y's own differences are computed. ``work`` collects how many are.
     """
-    if not len(a.sid) or not len(b.sid):
+    if not len(a.row) or not len(b.row):
         return (np.zeros(0, int),) * 3
     open_ = open_blocks(a.n[a.first], a.pos[a.first], b.n[b.first], b.pos[b.first], percent)
     order = np.argsort(a.group, kind="stable")
@@ -286,26 +304,44 @@ def forest(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return np.array(taken, int)
 
 
-def _by_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of rows with the same keys; rows come sorted by them."""
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by keys in tables that hold whole groups: what the next batch may go on with waits for it."""
     held: list[pa.RecordBatch] = []
-    for b in batches:  # a group may go on in the next batch
+    for b in batches:
         if not b.num_rows:
             continue
         k = np.stack([ints(b.column(c))[0] for c in keys], 1)
-        at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1), True])
+        at = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
         if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != x for c, x in zip(keys, k[0].tolist())):
             yield pa.Table.from_batches(held)
             held = []
-        for i, j in zip(at[:-1], at[1:]):
-            held.append(b.slice(i, j - i))
-            if j < b.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
+        if len(at):
+            last = int(at[-1])
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+            b = b.slice(last)
+        held.append(b)
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _by_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Each group of rows with the same keys; rows come sorted by them."""
+    for t in _whole(batches, keys):
+        k = np.stack([ints(t.column(c))[0] for c in keys], 1)
+        at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1), True]).tolist()
+        yield from (t.slice(i, j - i) for i, j in zip(at[:-1], at[1:]))
+
+
+def _matrix(bitmaps: pa.ChunkedArray) -> np.ndarray:
+    """The bitmaps folded to BITS, a row each."""
+    buf, off = flat(bitmaps)
+    width = BITS // 8
+    if (np.diff(off) == width).all():
+        return np.frombuffer(buf.tobytes(), _U).reshape(-1, width // 8)
+    return np.stack([folded(buf[i:j].tobytes(), width) for i, j in zip(off[:-1], off[1:])])
+
+
 def _list_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Pairs of lists between groups that the bitmaps leave: a spanning forest by difference, or all.
 
@@ -317,24 +353,32 @@ def _list_pairs(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     dealt = rows.withColumn("p", F.explode(pairs)).select("token", "sid", "n", "pos", "grp", "bitmap", "p.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_keys(batches, keys):
-            sid, n, pos, group, side = (ints(t.column(c))[0] for c in ("sid", "n", "pos", "grp", "side"))
-            maps = np.stack([folded(m, BITS // 8) for m in t.column("bitmap").to_pylist()])
-            same = t.column("salt")[0] == t.column("salt2")[0]
-            a = Side(*(x[side == 0] for x in (sid, n, pos, group, maps)))
-            b = a if same else Side(*(x[side == 1] for x in (sid, n, pos, group, maps)))
-            left, right, cost = list_pairs(a, b, percent)
-            if same:
-                once = left < right
-                left, right, cost = left[once], right[once], cost[once]
+        for t in _whole(batches, keys):
+            token, salt, salt2, side, sid, n, pos, group = (ints(t.column(c))[0] for c in (*keys, "side", "sid", "n", "pos", "grp"))
+            maps = _matrix(t.column("bitmap"))
+            cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (salt2[1:] != salt2[:-1]), True])
+            size = np.diff(cuts)
+            short = (size <= SHORT) & (salt[cuts[:-1]] == salt2[cuts[:-1]])
+            found = [short_pairs(cuts[:-1][short], size[short], n, pos, group, maps, percent)]
+            for i, j in zip(cuts[:-1][~short], cuts[1:][~short]):
+                at = np.arange(i, j)
+                a = Side(at[side[i:j] == 0], n, pos, group, maps)
+                b = a if salt[i] == salt2[i] else Side(at[side[i:j] == 1], n, pos, group, maps)
+                left, right, cost = list_pairs(a, b, percent)
+                once = (left < right) | (a is not b)
+                found.append((np.full(int(once.sum()), i), a.row[left[once]], b.row[right[once]], cost[once]))
+            piece, left, right, cost = (np.concatenate(x) for x in zip(*found))
             if len(left) and not all_pairs:
-                e = forest(a.group[left], b.group[right], cost)
+                # Groups are told apart by their piece of work, so this is a forest for each.
+                names = np.unique(np.stack([np.r_[piece, piece], np.r_[group[left], group[right]]], 1), axis=0, return_inverse=True)[1].reshape(-1)
+                e = forest(names[: len(left)], names[len(left) :], cost)
                 left, right = left[e], right[e]
-            x, y = a.sid[left], b.sid[right]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            x, y = sid[left], sid[right]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mapped(dealt.repartition(n, *keys).sortWithinPartitions(*keys), run, "a long, b long")
+    return mapped(dealt.repartition(n, *keys).sortWithinPartitions(*keys, "n", "pos"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
