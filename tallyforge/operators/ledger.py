@@ -11,17 +11,9 @@ MAX_LEGS = 64
 RETENTION, GRACE, SEGMENTS = 30, 1, 63
 
 
-def judge_epoch_lanes(d: Dialect) -> str:
-    """Per lane, holds against the opening funds in order; a rejected one takes nothing."""
+def judge_epoch_lanes_sql() -> str:
+    """W5, F8 in recursive steps."""
     rows = f"SELECT 1000 + o_custkey AS lane, o_orderdate AS tm, o_orderkey AS k, {cents('o_totalprice')} AS amount FROM orders"
-    if d.spark:
-        return f"""
-        SELECT lane, s.available, s.rejected FROM (
-          SELECT lane, aggregate(array_sort(collect_list(struct(tm, k, amount))),
-            named_struct('available', CAST({OPENING} AS BIGINT), 'rejected', CAST(0 AS BIGINT)),
-            (s, x) -> named_struct('available', IF(x.amount <= s.available, s.available - x.amount, s.available),
-                                   'rejected', s.rejected + IF(x.amount <= s.available, 0L, 1L))) AS s
-          FROM ({rows}) GROUP BY lane)"""
     return f"""
     WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY tm, k, amount) AS i FROM ({rows})),
     f AS (
@@ -324,7 +316,7 @@ def bucket_staircase(d: Dialect) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    judge_epoch_lanes, hold_remainders, balances_from_effects, trial_balance, column_audit, effect_columns, effects_by_kind, open_holds, budget_groups, chain_coverage, expiring_holds,
+    hold_remainders, balances_from_effects, trial_balance, column_audit, effect_columns, effects_by_kind, open_holds, budget_groups, chain_coverage, expiring_holds,
     expiry_rounds, oldest_unfinished_day, compaction_survivors, segment_live_counts, validate_requests, reject_kinds, dedup_verdicts, chain_ids, chain_limits,
     lane_seq, seq_gaps, release_order, order_wait, server_queue, in_flight_peak, arrival_schedule, latency_summary, group_latency, throughput, counters_since, repeats_median,
     fifo_resolution, address_packing, bucket_staircase,
