@@ -22,14 +22,3 @@ def test_equals_sql(spark, oracle, name):
     got = sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
     expected = sorted(map(repr, oracle.sql(f"SELECT {', '.join(columns)} FROM ({__spark_entry__.oracle_sql()[name]}) q").fetchall()))
     assert got == expected
-
-
-def test_stream_of_repeats(spark, tmp_path):
-    from tallyforge.streaming import dedup
-
-    for i, rows in enumerate([[(1, 7, "x"), (2, 7, "x")], [(3, 7, "y"), (4, 8, "z")]]):
-        spark.createDataFrame(rows, "arrival long, tx_id long, body string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        source = spark.readStream.schema("arrival long, tx_id long, body string").parquet(str(tmp_path / "in"))
-        dedup.start(source, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = {r.arrival: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: "Fresh", 2: "DuplicateSameBody", 3: "DuplicateDifferentBody", 4: "Fresh"}
