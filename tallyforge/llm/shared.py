@@ -12,9 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +22,47 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.shipping import ship as _ship
+
 BLOCK_BYTES = 1 << 20
 ASCII_SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint8)
 NULL_ID = -(1 << 63)
 BUCKETS = 4  # blob buckets for each shuffle partition
 
-_shipped: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    if top.is_dir():
-        path = Path(tempfile.mkdtemp(prefix="tallyforge-ship-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
+    """Makes a session ready for Python workers: they can import this package, and what they are sent at a time is bounded.
+
+    Rows can be long, so a batch is bounded by bytes: the session's bound (64 MB by itself) goes down to 4 MB.
+    """
+    _ship(spark)
+    spark.conf.set(BATCH_BYTES, str(min(int(spark.conf.get(BATCH_BYTES).rstrip("bB")), 4 << 20)))
+
+
+def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same, giving back unused memory in the end: workers are kept for later tasks, of other operators too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -82,7 +100,7 @@ def by_bucket(df: DataFrame, *order: str) -> DataFrame:
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(released(f), schema)
 
 
 # ---- Arrow text ----

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import flat, hash_ranges, mapped, ship, slices
+from tallyforge.llm.shared import flat, hash_ranges, mapped, release, ship, slices
 
 SAMPLE, GRADES, PENALTY, STEPS, THRESHOLD = 3000, 4, 0.004, 400, 1.0
 LEAST_TEXTS = 4
@@ -137,6 +137,7 @@ def severity(spark: SparkSession, model: Severity, text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
         parts = [shared.value.expected(*words(*flat(b.column(0)))) for b in slices([batch], "text")]
+        release()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return run(text.cast("string"))
