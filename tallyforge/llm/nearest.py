@@ -4,7 +4,7 @@ Vectors get one more component, sqrt(M - |x|^2) with M the largest squared norm,
 smaller distance to the query (which gets 0 there). Each vector's key is its nearest pivot and the distance to it; the
 index is sorted by key and cut into blocks, each an annulus around a pivot. A query takes annuli from its own distance
 outwards. By the triangle inequality no vector of an annulus can be nearer than the gap between the query's distance to
-the pivot and the annulus; a query leaves out those beyond its k-th best so far.
+the pivot and the annulus; a query stops at the first one beyond its k-th best so far, which starts as that among a sample.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import mapped, pack, stored, unpack
+from tallyforge.llm.shared import mapped, pack, scratch, stored, unpack
 
-K, SCALE, PIVOTS, PIVOT_SAMPLE, ANNULUS, QUERY_CHUNK = 5, 256, 32, 4096, 1024, 8192
+K, SCALE, PIVOTS, PIVOT_SAMPLE, ANNULUS, QUERY_CHUNK = 5, 256, 32, 4096, 512, 8192
+HELD = 64  # annuli looked at together by a task
 EXACT = 1 << 53
 
 
@@ -128,38 +129,81 @@ def _index(rows: DataFrame, pivots: np.ndarray, top: float) -> DataFrame:
     return mapped(ranged, block, "pivot int, inner double, outer double, payload binary")
 
 
-def _search(blocks: DataFrame, queries: tuple[np.ndarray, np.ndarray], pivots: np.ndarray, top: float, k: int) -> DataFrame:
+def thresholds(sample_ids: np.ndarray, sample: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among the sampled rows: no final k-th best is less. Minus infinity if they are too few."""
+    best = Best(len(queries), k)
+    for i in range(0, len(sample), ANNULUS):
+        best.add(np.arange(len(queries)), _products(sample[i : i + ANNULUS], queries), sample_ids[i : i + ANNULUS], own)
+    return best.least()
+
+
+def search(blocks: list[tuple], own: np.ndarray, q: np.ndarray, known: np.ndarray, pivots: np.ndarray, top: float, k: int, work: list[int] | None = None) -> Best:
+    """The best of ``blocks`` (pivot, inner, outer, payload) for each query; ``work`` collects products computed.
+
+    Each query takes the annuli in the order of their gap, outwards from its own distances to the pivots, and stops at the
+    first one that lies beyond what its k-th best score allows; ``known`` are k-th best scores known before.
+    """
+    square = (q.astype(np.float64) ** 2).sum(1)
+    full = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], 1)
+    away = np.sqrt(np.maximum((full**2).sum(1)[:, None] - 2 * full @ pivots.T + (pivots**2).sum(1), 0))
+    pivot, inner, outer = (np.array([b[c] for b in blocks]) for c in range(3))
+    gap = np.maximum(np.maximum(inner - away[:, pivot], away[:, pivot] - outer), 0)
+    order = np.argsort(gap, axis=1, kind="stable")
+    best, live, held = Best(len(q), k), np.arange(len(q)), {}
+    for step in range(len(blocks)):
+        # Squared distance of the k-th best; a hair more for rounding.
+        reach = square[live] + top - 2 * np.maximum(best.least()[live], known[live])
+        mine = order[live, step]
+        near = ~(gap[live, mine] * (1 - 1e-9) - 1e-6 > np.sqrt(np.maximum(reach, 0)))
+        live, mine = live[near], mine[near]  # annuli come by their gap, so a query that stops is done
+        if not len(live):
+            break
+        for i in np.unique(mine):
+            if i not in held:
+                held[i] = unpack(blocks[i][3])
+            ids, x = held[i]
+            on = live[mine == i]
+            best.add(on, _products(x, q[on]), ids, own)
+            if work is not None:
+                work.append(len(on) * len(x))
+    return best
+
+
+def _search(blocks: DataFrame, queries: tuple[np.ndarray, ...], pivots: np.ndarray, top: float, k: int):
+    """(broadcast, rows): the best of each partition, HELD annuli at a time."""
     shared = blocks.sparkSession.sparkContext.broadcast((*queries, pivots, top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q, pivots, top = shared.value
-        square = (q.astype(np.float64) ** 2).sum(1)
-        full = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], 1)
-        away = np.sqrt(np.maximum((full**2).sum(1)[:, None] - 2 * full @ pivots.T + (pivots**2).sum(1), 0))
-        best = Best(len(q), k)
-        every = np.arange(len(q))
+        own, q, known, pivots, top = shared.value
+        known = known.copy()
+
+        def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            best = search(held, own, q, known, pivots, top, k)
+            np.maximum(known, best.least(), out=known)
+            at, rank = np.nonzero(best.known & (best.score >= np.where(np.isfinite(known), known, -np.inf)[:, None]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(best.id[at, rank]), pa.array(best.score[at, rank])], ["query_id", "vec_id", "score"])
+
+        held: list[tuple] = []
         for b in batches:
-            inner, outer, pivot = (b.column(c).to_numpy() for c in ("inner", "outer", "pivot"))
-            gap = np.maximum(np.maximum(inner[:, None] - away[:, pivot].T, away[:, pivot].T - outer[:, None]), 0)
-            for i in np.argsort(gap.mean(1), kind="stable"):  # outwards from where the queries are
-                reach = square + top - 2 * best.least()  # squared distance of the k-th best
-                on = every[~(gap[i] * (1 - 1e-9) - 1e-6 > np.sqrt(np.maximum(reach, 0)))]
-                if len(on):
-                    ids, x = unpack(b.column("payload")[int(i)].as_py())
-                    best.add(on, _products(x, q[on]), ids, own)
-        at, rank = np.nonzero(best.known)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(best.id[at, rank]), pa.array(best.score[at, rank])], ["query_id", "vec_id", "score"])
+            for row in zip(*(b.column(c).to_pylist() for c in ("pivot", "inner", "outer", "payload"))):
+                held.append(row)
+                if len(held) >= HELD:
+                    yield from flush(held)
+                    held = []
+        if held:
+            yield from flush(held)
 
-    return mapped(blocks, run, "query_id long, vec_id long, score long")
+    return shared, mapped(blocks, run, "query_id long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, is_query, k: int = K, chunk: int = QUERY_CHUNK) -> DataFrame:
     """Of quantised rows (id, vec): each query's k best others: query_id, rank, vec_id, score.
 
     ``is_query``: a condition on id. Ties go to the smaller id; fewer than k others give fewer rows; an empty table gives
-    none. All vectors must have the same length. A row whose id repeats counts once, with its largest vector. Queries are
-    broadcast in chunks of a bounded number; scores beyond 64 bits saturate.
+    none. All vectors must have the same length. A row whose id repeats counts once, with its largest vector. Queries go
+    chunk by chunk: a chunk is broadcast, its results are written, and its broadcast goes before the next one comes, so no
+    more than a chunk is ever held. Scores beyond 64 bits saturate.
     """
     spark = rows.sparkSession
     rows = stored(rows.groupBy("id").agg(F.max("vec").alias("vec")), "vectors")
@@ -170,23 +214,27 @@ def top_k(rows: DataFrame, is_query, k: int = K, chunk: int = QUERY_CHUNK) -> Da
         return spark.createDataFrame([], schema)
     if lengths > 1:
         raise ValueError("vectors of different lengths")
-    sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("vec").toArrow().column(0))
+    sampled = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("id", "vec").toArrow()
+    sample_ids, sample = sampled.column(0).to_numpy(), _matrix(sampled.column(1))
     pivots = choose_pivots(sample, top)
     blocks = stored(_index(rows, pivots, top), "annuli")
     chunks = -(-n_queries // chunk)
     numbered = rows.filter(is_query).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    found = None
+    path = scratch(spark, "nearest")
     for c in range(chunks):
         got = numbered.filter(F.col("chunk") == c).select("id", "vec").toArrow()
-        if got.num_rows:
-            part = _search(blocks, (got.column(0).to_numpy(), _matrix(got.column(1))), pivots, top, k)
-            found = part if found is None else found.unionAll(part)
-    # Each task brings k rows for a query at most; they are put together without a sort of all.
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), "vec_id", "score"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "col.vec_id", "col.score")
+        own, q = got.column(0).to_numpy(), _matrix(got.column(1)) if got.num_rows else np.zeros((0, sample.shape[1]), np.int64)
+        shared, part = _search(blocks, (own, q, thresholds(sample_ids, sample, own, q, k)), pivots, top, k)
+        part.write.parquet(f"{path}/chunk={c}")
+        shared.destroy()
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
+    # A rank with a limit is cut in each task before rows are moved.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best others of every fiftieth vector; cases as in ``quantised`` and ``top_k``."""
     rows = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(rows, F.col("id") % 50 == 0)
 

@@ -38,7 +38,9 @@ def ship(spark: SparkSession) -> None:
     Rows can be long, so a batch is bounded by bytes: the session's bound (64 MB by itself) goes down to 4 MB.
     """
     _ship(spark)
-    spark.conf.set(BATCH_BYTES, str(min(int(spark.conf.get(BATCH_BYTES).rstrip("bB")), 4 << 20)))
+    said = spark.conf.get(BATCH_BYTES).lower().rstrip("b")
+    if not said.isdigit() or int(said) > 4 << 20:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
 def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
