@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 
 from tallyforge.llm.shared import ASCII_SPACE, binary, ragged, tokenizer_path, word_cuts
 
-CACHE_PARTS, CACHE_BYTES = 1_000_000, 32 << 20
-BLOCK = 4 << 20  # bytes of text encoded at a time
+CACHE_PARTS, CACHE_BYTES = 500_000, 16 << 20
+BLOCK = 2 << 20  # bytes of text encoded at a time
 
 
 class PartCache:
