@@ -186,7 +186,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = F.least(col("rate").cast("double"), most)
     limit = F.when(col("rate") <= most, "none").when(core == most, "core").when(slots == most, "slots").otherwise("device")
     waits = F.when(got < core, F.least(F.lit(1e9), cost / (1 - got / core))).otherwise(1e9)
-    return p.select("plan", F.floor(got).cast("long").alias("throughput"), F.round(got / core, 6).alias("core_use"), limit.alias("limit"), F.floor(col("latency_ns") + waits).cast("long").alias("latency_ns"))
+    return p.select("plan", F.floor(got).cast("long").alias("throughput"), F.round(got / core, 6).alias("core_use"), limit.alias("limited_by"), F.floor(col("latency_ns") + waits).cast("long").alias("latency_ns"))
 
 
 def required_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ def _duck_required() -> str:
 ORACLE_SQL = {
     "load_requests": _duck_load(),
     "predictions": f"""WITH a AS (SELECT *, {_CORE} AS core, slots / (latency_ns / 1e9::DOUBLE) AS s, iops / {READS_PER_REQUEST}::DOUBLE AS d FROM {_PLANS}), b AS (SELECT *, least(core, s, d) AS most, least(rate::DOUBLE, core, s, d) AS got FROM a)
-      SELECT plan, CAST(floor(got) AS BIGINT) AS throughput, round(got / core, 6) AS core_use, CASE WHEN rate <= most THEN 'none' WHEN core = most THEN 'core' WHEN s = most THEN 'slots' ELSE 'device' END AS "limit",
+      SELECT plan, CAST(floor(got) AS BIGINT) AS throughput, round(got / core, 6) AS core_use, CASE WHEN rate <= most THEN 'none' WHEN core = most THEN 'core' WHEN s = most THEN 'slots' ELSE 'device' END AS limited_by,
       CAST(floor(latency_ns + CASE WHEN got < core THEN least(1e9, {_COST} / (1 - got / core)) ELSE 1e9 END) AS BIGINT) AS latency_ns FROM b""",
     "required_latency": _duck_required(),
 }
