@@ -28,13 +28,12 @@ def _hold_fold(d: Dialect) -> str:
     """Per hold what is left when settlements come in order and those over the remainder are refused."""
     if d.spark:
         return f"""
-        SELECT h.*, coalesce(s.remaining, h.amount) AS remaining, coalesce(s.accepted, 0L) AS accepted, coalesce(s.exceeded, 0L) AS exceeded FROM ({HOLDS}) h LEFT JOIN (
-          SELECT hold_id, aggregate(array_sort(collect_list(struct(settled_at, line, part, x.amount AS amount))),
-            named_struct('remaining', any_value(held), 'accepted', 0L, 'exceeded', 0L),
+        SELECT * EXCEPT (s), s.remaining AS remaining, s.accepted AS accepted, s.exceeded AS exceeded FROM (
+          SELECT h.*, aggregate(coalesce(lines, array()), named_struct('remaining', h.amount, 'accepted', 0L, 'exceeded', 0L),
             (s, x) -> IF(x.amount <= s.remaining AND x.amount > 0,
               named_struct('remaining', s.remaining - x.amount, 'accepted', s.accepted + 1L, 'exceeded', s.exceeded),
-              named_struct('remaining', s.remaining, 'accepted', s.accepted, 'exceeded', s.exceeded + 1L)), s -> s) AS s
-          FROM (SELECT s.*, h.amount AS held FROM ({SETTLES}) s JOIN ({HOLDS}) h USING (hold_id)) x GROUP BY hold_id) USING (hold_id)"""
+              named_struct('remaining', s.remaining, 'accepted', s.accepted, 'exceeded', s.exceeded + 1L))) AS s
+          FROM ({HOLDS}) h LEFT JOIN (SELECT hold_id AS own, array_sort(collect_list(struct(settled_at, line, part, amount))) AS lines FROM ({SETTLES}) GROUP BY hold_id) ON own = hold_id)"""
     return f"""
     WITH RECURSIVE hh AS ({HOLDS}), ss AS (SELECT *, row_number() OVER (PARTITION BY hold_id ORDER BY settled_at, line, part, amount) AS i FROM ({SETTLES})),
     f AS (
@@ -52,16 +51,29 @@ def hold_remainders(d: Dialect) -> str:
 
 
 def _effects(d: Dialect) -> str:
-    """Effects as a log keeps them: funding, holds, what was settled of each, and voids of what finished orders leave."""
-    return f"""
-      SELECT 'Post' AS kind, CAST(0 AS BIGINT) AS hold_id, CAST(c_nationkey AS BIGINT) + 1 AS debit_account, 1000 + c_custkey AS credit_account, CAST({OPENING} AS BIGINT) AS amount, CAST(c_nationkey AS BIGINT) + 1 AS ledger FROM customer
+    """Effects as a log keeps them: funding, holds, what was settled of each, and voids of what finished orders leave.
+
+    In Spark one pass over the holds gives all of a hold's effects, so the fold is planned once.
+    """
+    funding = f"SELECT 'Post' AS kind, CAST(0 AS BIGINT) AS hold_id, CAST(c_nationkey AS BIGINT) + 1 AS debit_account, 1000 + c_custkey AS credit_account, CAST({OPENING} AS BIGINT) AS amount, CAST(c_nationkey AS BIGINT) + 1 AS ledger FROM customer"
+    if d.spark:
+        own = "filter(array(named_struct('kind', 'Hold', 'amount', amount), named_struct('kind', 'Settle', 'amount', amount - remaining), named_struct('kind', 'Void', 'amount', IF(status = 'F', remaining, 0L))), e -> e.kind = 'Hold' OR e.amount > 0)"
+        return f"{funding} UNION ALL SELECT e.kind, hold_id, debit_account, credit_account, e.amount, ledger FROM (SELECT *, explode({own}) AS e FROM folded)"
+    return f"""{funding}
       UNION ALL SELECT 'Hold', hold_id, debit_account, credit_account, amount, ledger FROM ({HOLDS})
       UNION ALL SELECT 'Settle', hold_id, debit_account, credit_account, amount - remaining, ledger FROM folded WHERE amount > remaining
       UNION ALL SELECT 'Void', hold_id, debit_account, credit_account, remaining, ledger FROM folded WHERE status = 'F' AND remaining > 0"""
 
 
+def _legs(d: Dialect) -> str:
+    """Each effect's debit and credit leg."""
+    if d.spark:
+        return "SELECT leg.account_id, leg.debit, kind, amount, ledger FROM (SELECT *, explode(array(named_struct('account_id', debit_account, 'debit', true), named_struct('account_id', credit_account, 'debit', false))) AS leg FROM effects)"
+    return "SELECT debit_account AS account_id, true AS debit, kind, amount, ledger FROM effects UNION ALL SELECT credit_account, false, kind, amount, ledger FROM effects"
+
+
 def _with_effects(d: Dialect, body: str) -> str:
-    return f"WITH folded AS ({_hold_fold(d)}), effects AS ({_effects(d)}), legs AS (SELECT debit_account AS account_id, true AS debit, kind, amount, ledger FROM effects UNION ALL SELECT credit_account, false, kind, amount, ledger FROM effects) {body}"
+    return f"WITH folded AS ({_hold_fold(d)}), effects AS ({_effects(d)}), legs AS ({_legs(d)}) {body}"
 
 
 POSTED = "CASE kind WHEN 'Post' THEN amount WHEN 'Settle' THEN amount ELSE 0 END"
