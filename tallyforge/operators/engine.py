@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import capacity, ledger
 from tallyforge.operators.flow import _E, _events
-from tallyforge.sources import tables
+from tallyforge.plans import judge
+from tallyforge.plans.recovery import folder
+from tallyforge.sources import tables, units
 from tallyforge.sources.tables import DUCKDB, HOLDS, SPARK
 
 INDEX_SLOTS, SERVICE_US, TAIL_US = 4096, 30_000_000, 300_000_000
@@ -113,7 +115,21 @@ def bounded_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.try_add(near_top, v).alias("sum"), F.greatest(key * 100 - v, F.lit(0)).alias("less"), F.ceil(v / 4096).cast("long").alias("blocks"), F.least(F.greatest(v, F.lit(1_000_000)), F.lit(20_000_000)).alias("held"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (overlay_view, survivors, segment_load, index_occupancy, device_queue, volume_counters, cold_reads, run_figures, lane_depths, bounded_arithmetic)}
+def published_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unit costs through their document, with how many of a part fit a block."""
+    path = folder(spark, "units")
+    units.publish(spark, capacity.PARTS, path)
+    return units.load(spark, path).withColumn("a_block", F.floor(F.col("block_bytes") / F.col("unit_bytes")).cast("long"))
+
+
+def request_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For all flags and both kinds of ids, the kind of a request, whether it looks a hold up, and whether a client may send it."""
+    rows = spark.range(16).select(F.col("id").cast("int").alias("flags"), F.explode(F.array(F.lit(7).cast("long"), F.lit(-7).cast("long"))).alias("tx_id"))
+    kind = judge.kind(F.col("flags"), F.col("tx_id"))
+    return rows.select("flags", "tx_id", kind.alias("kind"), judge.needs_pending_lookup(kind).alias("looks_up"), judge.is_client(kind).alias("client"), (F.col("flags").bitwiseAND(8) != 0).alias("linked"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (overlay_view, survivors, segment_load, index_occupancy, device_queue, volume_counters, cold_reads, run_figures, lane_depths, bounded_arithmetic, published_units, request_kinds)}
 
 _FOLD = ledger._hold_fold(DUCKDB)
 _SERVER = f"""{_E}, o AS (SELECT *, CASE WHEN event_id % 16 = 0 THEN {TAIL_US} ELSE {SERVICE_US} END AS service, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM e),
@@ -138,6 +154,9 @@ ORACLE_SQL = {
       SELECT day, round(n / 86400, 9) AS a_second, round(spent / batches / 1000, 6) AS commit_wait, round(n / batches, 6) AS effects_a_batch, round(busy / n, 6) AS busy_share, round(spent / 86400000000, 9) AS core_use, round(spent * 1000 / n, 3) AS nanos_a_request FROM d""",
     "lane_depths": f"""WITH {_E}, x AS (SELECT user_id % 8 AS lane, event_id AS seq, us + cents * 1000000 AS ready_at FROM e), r AS (SELECT *, max(ready_at) OVER (PARTITION BY lane ORDER BY seq) AS released FROM x), w AS (SELECT * FROM r WHERE released > ready_at)
       SELECT lane, max(n) AS deepest FROM (SELECT a.lane, (SELECT count(*) FROM w b WHERE b.lane = a.lane AND b.ready_at <= a.ready_at AND b.released > a.ready_at) AS n FROM w a) d GROUP BY lane""",
+    "published_units": f"SELECT CAST(4096 AS BIGINT) AS block_bytes, *, 4096 // unit_bytes AS a_block FROM {capacity._parts(capacity.PARTS)}",
+    "request_kinds": """WITH r AS (SELECT CAST(f AS INTEGER) AS flags, CAST(t AS BIGINT) AS tx_id FROM range(16) a(f), (VALUES (7), (-7)) b(t)), k AS (SELECT *, CASE flags % 8 WHEN 0 THEN 'SinglePhase' WHEN 1 THEN 'Hold' WHEN 2 THEN 'Settle' WHEN 4 THEN CASE WHEN tx_id < 0 THEN 'VoidExpiry' ELSE 'VoidClient' END END AS kind FROM r)
+      SELECT flags, tx_id, kind, kind IN ('Settle', 'VoidClient', 'VoidExpiry') AS looks_up, kind <> 'VoidExpiry' AS client, flags >= 8 AS linked FROM k""",
     "bounded_arithmetic": f"""WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders), s AS (SELECT *, CAST({(1 << 63) - 1} AS HUGEINT) - o_orderkey * 10000 + v AS wide FROM o)
       SELECT o_orderkey, CASE WHEN wide <= {(1 << 63) - 1} THEN CAST(wide AS BIGINT) END AS sum, greatest(o_orderkey * 100 - v, 0) AS less, (v + 4095) // 4096 AS blocks, least(greatest(v, 1000000), 20000000) AS held FROM s""",
 }

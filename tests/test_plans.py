@@ -8,7 +8,7 @@ import __spark_entry__
 from tallyforge.operators import capacity, wire
 from tallyforge.operators.flow import Batcher
 from tallyforge.plans import judge, recovery, simulation
-from tallyforge.sources import snapshots
+from tallyforge.sources import snapshots, units
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +31,15 @@ def test_a_line_without_a_unit_cost_fails(spark):
         capacity.sizing(capacity._configs(spark, capacity.EXAMPLE), costs).collect()
 
 
+def test_unit_costs_come_from_their_document(spark, tmp_path):
+    units.publish(spark, capacity.PARTS, str(tmp_path / "u"))
+    got = units.load(spark, str(tmp_path / "u"))
+    assert capacity.sizing(capacity._configs(spark, capacity.EXAMPLE), got.select("name", "owner", "unit", "unit_bytes")).count() == 22
+    units.publish(spark, [("a", "b", "c", 0)], str(tmp_path / "v"))
+    with pytest.raises(Exception, match="no unit cost: a"):
+        units.load(spark, str(tmp_path / "v")).collect()
+
+
 def test_batches_keep_chains_whole():
     b = Batcher(size=2, most=2, linger=100)
     assert [b.place(1, 0), b.place(2, 1)] == [1, 2]
