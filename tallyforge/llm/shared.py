@@ -27,7 +27,6 @@ from tallyforge.functions.shipping import ship as _ship
 BLOCK_BYTES = 1 << 20
 ASCII_SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint8)
 NULL_ID = -(1 << 63)
-BUCKETS = 4  # blob buckets for each shuffle partition
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -90,8 +89,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Number of blob buckets: several for each shuffle partition, as a task holds one whole bucket at a time."""
-    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Number of blob buckets: one for each shuffle partition, as each batch of a map task makes a row for each bucket."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def by_bucket(df: DataFrame, *order: str) -> DataFrame:
