@@ -25,14 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import BLOB, KEEP, blob_rows, bucket_groups, buckets, by_bucket, flat, ints, joined, mapped, mix, ragged, scatter, sliding_least, slices, stored, text_hashes, window_hashes, words_at
+from tallyforge.llm.shared import BLOB, KEEP, blob_rows, bucket_groups, buckets, by_bucket, flat, ints, joined, mapped, mix, ragged, scatter, sliding_least, slices, stored, text_hashes, unpack, window_hashes, words_at
 
 LENGTH, GRAM, DIGIT = 100, 32, 8
 CHUNK = 8_000  # anchors whose windows are sorted at a time
 SLICE = 1 << 20  # bytes of text looked at at a time
-DEALT = 16 << 20  # bytes of text that are dealt out at a time
+DEALT = 8 << 20  # bytes of text that are dealt out at a time
 HELD = 200_000  # anchors in a batch of blobs
-SHOWN_HELD = 200_000  # anchors with their surroundings in a batch of blobs
+SHOWN_HELD = 60_000  # anchors with their surroundings in a batch of blobs
+PORTION = 2 << 20  # compressed bytes of a bucket, about, that are unpacked at once
 PLACE = (1 << 24) - 1  # bits that tell the place in a part beside the hash
 PART = 1 << 20  # windows of a part
 _U = np.uint64
@@ -265,14 +266,27 @@ def equal_windows(seen: np.ndarray, left: np.ndarray, right: np.ndarray, group:
     return own[again], shift[again]
 
 
+def _portions(rows: list[bytes], n_buckets: int) -> Iterator[list[np.ndarray]]:
+    """A bucket's records by ranges of their first column, a hash, so that only some of the bytes are unpacked at once."""
+    parts = 1 + sum(map(len, rows)) // PORTION
+    for k in range(parts):
+        some = []
+        for blob in rows:
+            cols = unpack(blob)
+            mine = cols[0] // _U(n_buckets) % _U(parts) == k
+            some.append([x[mine] for x in cols] if parts > 1 else cols)
+        cols = [np.concatenate(x) for x in zip(*some)]
+        if len(cols[0]):
+            yield cols
+
+
 def _sort(shown: DataFrame, length: int) -> DataFrame:
     """Covered stretches, by document."""
     n_buckets = buckets(shown.sparkSession)
     side = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in bucket_groups(batches):
-            gram, ids, tie, at, left, right, seen = joined([p for _, p in rows])
+        for gram, ids, tie, at, left, right, seen in (x for _, rows in bucket_groups(batches) for x in _portions([p for _, p in rows], n_buckets)):
             order = np.lexsort((at, tie, ids, gram))
             gram, ids, tie, at, left, right = (x[order] for x in (gram, ids, tie, at, left, right))
             seen = seen[order]

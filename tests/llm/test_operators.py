@@ -398,3 +398,14 @@ def test_classifiers_take_odd_rows(spark, labelled):
     assert (model.vocabulary == same.vocabulary).all() and np.allclose(model.weights, same.weights)
     none = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.score(table, none).collect()} == {0.5}
+
+
+def test_portions_of_a_bucket_hold_whole_groups(monkeypatch):
+    monkeypatch.setattr(repeats, "PORTION", 500)
+    r = np.random.default_rng(5)
+    gram = shared.mix(r.integers(0, 40, 900).astype(np.uint64))
+    blobs = [shared.pack(gram[i : i + 100], np.arange(i, i + 100)) for i in range(0, 900, 100)]
+    parts = list(repeats._portions(blobs, 3))
+    assert len(parts) > 1 and sorted(np.concatenate([x[1] for x in parts]).tolist()) == list(range(900))
+    seen = [set(x[0].tolist()) for x in parts]
+    assert sum(map(len, seen)) == len(set(gram.tolist())) and all((gram[x[1]] == x[0]).all() for x in parts)
